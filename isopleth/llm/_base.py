@@ -69,35 +69,44 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class WordHashes:
-    """64-bit hashes of words, kept for words met again; the store is emptied when it is full."""
-
-    def __init__(self, most: int = 400_000):
-        self.known: dict[str, int] = {}
-        self.most = most
-
-    def __call__(self, words: list[str]) -> np.ndarray:
-        import xxhash
-
-        if len(self.known) > self.most:
-            self.known.clear()
-        known = self.known
-        try:
-            return np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
-        except KeyError:
-            for w in set(words):
-                if w not in known:
-                    known[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "replace"))
-        return np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
-
-
-def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
-    """A hash for each run of k word hashes, in order; with fewer words, one for the whole sequence; none without words."""
+_BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_IS_SPACE = np.zeros(256, dtype=bool)
+_IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+def _powers(n: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return np.cumprod(np.full(n, 0xD1342543DE82EF95, dtype=np.uint64))
+
+
+_POWERS = _powers(4096)
+
+
+def word_hashes(data: bytes, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each word of UTF-8 bytes (a run without ASCII white space) its 64-bit hash, start and end; A-Z count as a-z if lower."""
+    raw = np.frombuffer(data, dtype=np.uint8)
+    inside = ~_IS_SPACE[raw]
+    edge = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+    starts, ends = edge[::2], edge[1::2]
+    if not len(starts):
+        return np.zeros(0, dtype=np.uint64), starts, ends
+    sizes = ends - starts
+    at = np.flatnonzero(inside)
+    first = np.cumsum(sizes) - sizes
+    place = np.arange(len(at)) - np.repeat(first, sizes)
+    longest = int(sizes.max())
+    powers = _POWERS if longest <= len(_POWERS) else _powers(longest)
+    chars = raw[at]
+    with np.errstate(over="ignore"):
+        sums = np.add.reduceat(_BYTE[_LOWER[chars] if lower else chars] * powers[place], first)
+        return mix64(sums + sizes.astype(np.uint64)), starts, ends
+
+
+def _rolled(words: np.ndarray, k: int) -> np.ndarray:
     n = len(words)
-    if n == 0:
-        return words
-    k = min(k, n)
-    out = np.zeros(n - k + 1, dtype=np.uint64)
+    out = np.zeros(max(0, n - k + 1), dtype=np.uint64)
     with np.errstate(over="ignore"):
         for j in range(k):
             out = (out ^ words[j : n - k + 1 + j]) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(k)
@@ -105,6 +114,39 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
         return mix64(out)
 
 
+def batch_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Word hashes of all texts in order, how many each text has, and each word's start and end in its own text's bytes."""
+    hashes, starts, ends = word_hashes(b" ".join(texts))
+    sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)) + 1
+    base = np.cumsum(sizes) - sizes
+    bounds = np.searchsorted(starts, np.append(base, sizes.sum()))
+    counts = np.diff(bounds)
+    shift = np.repeat(base, counts)
+    return hashes, counts, starts - shift, ends - shift
+
+
+def shingle_sets(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct hashes of each text's k-word shingles, one text after the other, and how many each has.
+
+    A text with fewer than k words has its whole sequence as one shingle; one without words has none.
+    """
+    words, counts, _, _ = batch_words(texts)
+    stops = np.cumsum(counts)
+    rolled = _rolled(words, k)
+    parts = []
+    for i in range(len(texts)):
+        n, stop = int(counts[i]), int(stops[i])
+        part = rolled[stop - n : stop - k + 1] if n >= k else _rolled(words[stop - n : stop], n) if n else words[:0]
+        part.sort()
+        parts.append(part)
+    h = np.concatenate(parts) if parts else words
+    sizes = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
+    new = np.concatenate([[True], h[1:] != h[:-1]]) if len(h) else np.zeros(0, dtype=bool)
+    new[(np.cumsum(sizes) - sizes)[sizes > 0]] = True
+    owner = np.repeat(np.arange(len(parts)), sizes)
+    return h[new], np.bincount(owner[new], minlength=len(parts))
+
+
 def marked(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Code points of all words, each between < and >, and the words' sizes with these marks."""
     codes = np.frombuffer("".join([f"<{w}>" for w in words]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
