@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import langid, minhash, quality, sentencepiece_codec, sharding, toxicity, url_filter
+from . import chat, langid, minhash, quality, sentencepiece_codec, sharding, toxicity, url_filter
 
-_MODULES = (langid, url_filter, sharding, sentencepiece_codec, minhash, quality, toxicity)
+_MODULES = (langid, url_filter, sharding, sentencepiece_codec, minhash, chat, quality, toxicity)
 
 
 def queries() -> dict:
