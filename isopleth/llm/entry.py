@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat, langid, minhash, quality, repeats, sentencepiece_codec, sharding, toxicity, url_filter
+from . import chat, decontaminate, langid, minhash, quality, repeats, sentencepiece_codec, sharding, toxicity, url_filter
 
-_MODULES = (langid, url_filter, sharding, sentencepiece_codec, minhash, chat, repeats, quality, toxicity)
+_MODULES = (langid, decontaminate, url_filter, sharding, sentencepiece_codec, minhash, chat, repeats, quality, toxicity)
 
 
 def queries() -> dict:
