@@ -26,111 +26,117 @@ BOILERPLATE = ("all rights reserved", "terms of service", "privacy policy", "coo
 class Rules:
     min_words: int = 20
     max_repeat_percent: int = 30
-    window: int = 8
+    window: int = 8  #: a power of two
     max_lost: float = 0.5
-    max_bars: float = 0.25
-    max_symbols: float = 0.2
-    max_upper: float = 0.7
-    max_bangs: float = 0.3
-    boilerplate_words: int = 30
+    max_bars: float = 0.25  #: `|` for each word, in lines of 4 words or more
+    max_symbols: float = 0.2  #: share of symbols
+    max_upper: float = 0.7  #: share of capitals, in lines with three in a row
+    max_bangs: float = 0.3  #: `!!` for each word, in lines of 4 words or more
+    boilerplate_chars: int = 200
     phrases: tuple[str, ...] = BOILERPLATE
 
 
 def _words(text: Column) -> Column:
-    return F.filter(F.split(text, _SPACE + "+"), lambda w: w != "")
+    for c in "\t\n\x0b\f\r":
+        text = F.replace(text, F.lit(c), F.lit(" "))
+    return F.array_remove(F.split(text, " "), "")
 
 
-def _visible(text: Column) -> Column:
-    """Code points outside white space."""
-    return F.length(F.regexp_replace(text, _SPACE + "+", ""))
-
-
-def _count_only(text: Column, others: str) -> Column:
+def _only(text: Column, others: str) -> Column:
     """Code points left when all others are removed."""
     return F.length(F.regexp_replace(text, others, ""))
 
 
-def _repeated(words: Column, k: int) -> Column:
-    """Words in k-word windows that occur twice or more, the first time included.
+def _paired(hashes: Column, step: int) -> Column:
+    """The hash of each hash with the one step places on; the last step values pair with nothing."""
+    return F.zip_with(hashes, F.slice(hashes, step + 1, F.greatest(F.lit(0), F.size(hashes) - step)), lambda a, b: F.xxhash64(a, b))
+
+
+def _packed(windows: Column) -> Column:
+    """Where hashes repeat, each with its window's place in its low bits, sorted; else nothing."""
+    bits = F.length(F.bin(F.size(windows).cast("bigint")))
+    packed = F.sort_array(F.transform(windows, lambda h, i: F.call_function("shiftleft", h, bits).bitwiseOR(i.cast("bigint"))))
+    return F.when(F.size(F.array_distinct(windows)) < F.size(windows), packed).otherwise(F.expr("array()").cast("array<bigint>"))
+
 
-    The windows' hashes are sorted with their places; a place counts if a neighbour has the same hash, and the
-    places found, in order, each add the words that the one before hasn't covered.
+def _repeated(packed: Column, k: int) -> Column:
+    """Words in windows that occur twice or more, the first time included.
+
+    A place counts if a neighbour has the same hash; places found, in order, each add the words that the one before
+    hasn't covered. packed is a column of its own: it is looked into once for each element.
     """
-    n = F.size(words)
-    windows = F.when(
-        n > k,
-        F.transform(F.sequence(F.lit(1), n - (k - 1)), lambda i: F.struct(F.xxhash64(F.slice(words, i, k)).alias("h"), i.cast("int").alias("i"))),
-    ).otherwise(F.expr("array()").cast("array<struct<h:bigint,i:int>>"))
-    return F.array_sort(windows)
-
-
-def _covered(ordered: Column, k: int) -> Column:
-    m = F.size(ordered)
-    places = F.when(
-        m > 1,
-        F.array_sort(
-            F.transform(
-                F.filter(ordered, lambda x, i: ((i > 0) & (F.get(ordered, i - 1)["h"] == x["h"])) | ((i < m - 1) & (F.get(ordered, i + 1)["h"] == x["h"]))),
-                lambda x: x["i"],
-            )
-        ),
-    ).otherwise(F.expr("array()").cast("array<int>"))
+    n = F.size(packed)
+    bits = F.length(F.bin(n.cast("bigint")))
+
+    def hash_of(v: Column) -> Column:
+        return F.call_function("shiftright", v, bits)
+
+    places = F.sort_array(
+        F.transform(
+            F.filter(packed, lambda v, i: ((i > 0) & (hash_of(F.get(packed, i - 1)) == hash_of(v))) | ((i < n - 1) & (hash_of(F.get(packed, i + 1)) == hash_of(v)))),
+            lambda v: v - F.call_function("shiftleft", hash_of(v), bits),
+        )
+    )
     return F.aggregate(
         places,
-        F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(-k).alias("last")),
-        lambda a, p: F.struct((a["n"] + F.least(F.lit(k), p - a["last"])).alias("n"), p.alias("last")),
+        F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(-k).cast("bigint").alias("last")),
+        lambda a, p: F.struct((a["n"] + F.least(F.lit(k).cast("bigint"), p - a["last"])).alias("n"), p.alias("last")),
         lambda a: a["n"],
     )
 
 
 def _line_fails(line: Column, rules: Rules) -> Column:
-    """Whether a line with words is noise. Null never comes here."""
-    n_words = F.size(F.filter(F.split(line, _SPACE + "+"), lambda w: w != ""))
-    seen = _visible(line)
+    """Whether a line with words is noise. Cheap tests guard the counts, which prose then never comes to."""
+    n_words = F.size(_words(line))
     letters = F.length(F.regexp_replace(line, r"[^\p{L}]+", ""))
     upper = F.length(F.regexp_replace(line, r"[^\p{Lu}]+", ""))
-    bars = F.length(F.regexp_replace(line, r"[^|]+", ""))
-    bangs = F.size(F.split(line, "!!")) - 1
     low = F.lower(line)
     furniture = F.lit(False)
     for phrase in rules.phrases:
         furniture = furniture | low.contains(phrase)
     return (
-        (letters == 0)
-        | ((n_words >= 4) & (bars >= rules.max_bars * n_words))
-        | (_count_only(line, _SYMBOLS) > rules.max_symbols * seen)
-        | ((n_words >= 4) & (letters >= 10) & (upper > rules.max_upper * letters))
-        | ((n_words >= 4) & (bangs >= rules.max_bangs * n_words))
-        | ((n_words <= rules.boilerplate_words) & furniture)
+        ~line.rlike(r"\p{L}")
+        | (line.contains("|") & (n_words >= 4) & (_only(line, r"[^|]+") >= rules.max_bars * n_words))
+        | (line.rlike(r"[#*$%&|<>]") & (_only(line, _SYMBOLS) > rules.max_symbols * _only(line, _SPACE + "+")))
+        | (line.rlike(r"\p{Lu}{3}") & (n_words >= 4) & (letters >= 10) & (upper > rules.max_upper * letters))
+        | (line.contains("!!") & (n_words >= 4) & (F.size(F.split(line, "!!")) - 1 >= rules.max_bangs * n_words))
+        | ((F.length(line) <= rules.boilerplate_chars) & furniture)
     )
 
 
 def judge(docs: DataFrame, text: str = "text", rules: Rules = Rules(), prefix: str = "q_") -> DataFrame:
-    """Adds the counts and verdicts, each named with the prefix: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, clean (the text without failing lines), lost_chars, kept."""
+    """Adds the counts and verdicts, each named with the prefix: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, lost_chars, kept; and lines and bad, the lines with words and those that fail."""
     p = prefix
     whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    lines = F.filter(F.split(whole, "\n"), lambda x: _visible(x) > 0)
-    staged = docs.withColumns({f"{p}text": whole}).withColumns({f"{p}words": _words(F.col(f"{p}text")), f"{p}lines": lines, f"{p}word_chars": _visible(F.col(f"{p}text")).cast("bigint"), f"{p}n_symbols": _count_only(F.col(f"{p}text"), _SYMBOLS).cast("bigint")})
+    staged = docs.withColumns({f"{p}words": _words(whole), f"{p}lines": F.filter(F.split(whole, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))})
+    staged = staged.withColumn(f"{p}hashes", F.transform(f"{p}words", lambda w: F.xxhash64(w)))
+    for step in (1 << i for i in range(rules.window.bit_length() - 1)):  # windows of 2, 4, 8 ... words
+        staged = staged.withColumn(f"{p}hashes", _paired(F.col(f"{p}hashes"), step))
+    full = F.size(f"{p}words") - (rules.window - 1)
+    staged = staged.withColumns({f"{p}windows": F.slice(f"{p}hashes", 1, F.greatest(F.lit(0), full)), f"{p}bad": F.filter(F.col(f"{p}lines"), lambda x: _line_fails(x, rules))})
+    staged = staged.withColumn(f"{p}packed", _packed(F.col(f"{p}windows")))
     staged = staged.withColumns(
         {
             f"{p}n_words": F.size(f"{p}words").cast("bigint"),
+            f"{p}word_chars": F.length(F.array_join(f"{p}words", "")).cast("bigint"),
+            f"{p}n_symbols": _only(whole, _SYMBOLS).cast("bigint"),
             f"{p}n_dup_lines": (F.size(f"{p}lines") - F.size(F.array_distinct(f"{p}lines"))).cast("bigint"),
-            f"{p}windows": _repeated(F.col(f"{p}words"), rules.window),
-            f"{p}good": F.filter(F.col(f"{p}lines"), lambda x: ~_line_fails(x, rules)),
+            f"{p}n_repeat_words": _repeated(F.col(f"{p}packed"), rules.window),
+            f"{p}lost_chars": F.when(F.size(f"{p}bad") == 0, F.lit(0)).otherwise(_only(F.array_join(f"{p}bad", ""), _SPACE + "+")).cast("bigint"),
         }
     )
-    staged = staged.withColumns({f"{p}n_repeat_words": _covered(F.col(f"{p}windows"), rules.window), f"{p}clean": F.array_join(f"{p}good", "\n")})
-    staged = staged.withColumns({f"{p}lost_chars": F.col(f"{p}word_chars") - _visible(F.col(f"{p}clean")), f"{p}base_failed": (F.col(f"{p}n_words") < rules.min_words) | (100 * F.col(f"{p}n_repeat_words") > rules.max_repeat_percent * F.col(f"{p}n_words"))})
+    staged = staged.withColumn(f"{p}base_failed", (F.col(f"{p}n_words") < rules.min_words) | (100 * F.col(f"{p}n_repeat_words") > rules.max_repeat_percent * F.col(f"{p}n_words")))
     staged = staged.withColumn(f"{p}kept", ~F.col(f"{p}base_failed") & (F.col(f"{p}lost_chars") <= rules.max_lost * F.col(f"{p}word_chars")))
-    return staged.drop(*(f"{p}{x}" for x in ("text", "words", "lines", "windows", "good")))
+    return staged.drop(*(p + x for x in ("words", "hashes", "windows", "packed")))
 
 
 def clean(docs: DataFrame, text: str = "text", n_chars: str | None = "n_chars", rules: Rules = Rules()) -> DataFrame:
     """The documents that pass, with failing lines gone from their texts; same columns as before."""
     p = "__quality_"
     out = judge(docs, text, rules, p).filter(F.col(f"{p}kept"))
-    changed = F.col(f"{p}lost_chars") > 0
-    made = {text: F.when(changed, F.col(f"{p}clean")).otherwise(F.col(f"`{text}`"))}
+    changed = F.size(f"{p}bad") > 0
+    out = out.withColumn(f"{p}clean", F.when(changed, F.array_join(F.filter(f"{p}lines", lambda x: ~_line_fails(x, rules)), "\n")))
+    made = {text: F.coalesce(F.col(f"{p}clean"), F.col(f"`{text}`"))}
     if n_chars and n_chars in docs.columns:
         made[n_chars] = F.when(changed, F.length(f"{p}clean")).otherwise(F.col(f"`{n_chars}`")).cast(docs.schema[n_chars].dataType)
     return out.select(*(made[c].alias(c) if c in made else F.col(f"`{c}`") for c in docs.columns))
@@ -160,9 +166,9 @@ counts AS (SELECT r, line, len({words.format('line')}) AS n, {seen.format('line'
   length(regexp_replace(line, '[^\p{{L}}]+', '', 'g')) AS letters, length(regexp_replace(line, '[^\p{{Lu}}]+', '', 'g')) AS upper_,
   length(regexp_replace(line, '[^|]+', '', 'g')) AS bars, len(string_split(line, '!!')) - 1 AS bangs,
   length(regexp_replace(line, '[^#*$%&|<>]+', '', 'g')) AS sym FROM line),
-lost AS (SELECT r, sum(seen) AS n FROM counts WHERE letters = 0 OR (n >= 4 AND bars >= {rules.max_bars} * n) OR sym > {rules.max_symbols} * seen
-  OR (n >= 4 AND letters >= 10 AND upper_ > {rules.max_upper} * letters) OR (n >= 4 AND bangs >= {rules.max_bangs} * n)
-  OR (n <= {rules.boilerplate_words} AND ({phrases})) GROUP BY r),
+lost AS (SELECT r, sum(seen) AS n FROM counts WHERE letters = 0 OR (bars > 0 AND n >= 4 AND bars >= {rules.max_bars} * n) OR (sym > 0 AND sym > {rules.max_symbols} * seen)
+  OR (regexp_matches(line, '\p{{Lu}}{{3}}') AND n >= 4 AND letters >= 10 AND upper_ > {rules.max_upper} * letters) OR (bangs > 0 AND n >= 4 AND bangs >= {rules.max_bangs} * n)
+  OR (length(line) <= {rules.boilerplate_chars} AND ({phrases})) GROUP BY r),
 fin AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
   CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(cov.n, 0) AS BIGINT) AS n_repeat_words,
   CAST(coalesce(lost.n, 0) AS BIGINT) AS lost_chars FROM w LEFT JOIN cov USING (r) LEFT JOIN lost USING (r)),
