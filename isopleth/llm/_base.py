@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 import numpy as np
@@ -10,8 +11,8 @@ from pyspark.sql import functions as F
 
 #: Words of all operators that count or shingle words: runs of anything but these ASCII separators.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
-#: Rows of one Arrow batch. Texts may be long, so a batch stays small.
-BATCH_ROWS = 256
+#: Bounds of one Arrow batch. Texts may be long, so bytes bound it; a row that is larger goes alone.
+BATCH_ROWS, BATCH_BYTES = 10_000, 4 << 20
 
 _ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
 
@@ -28,6 +29,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Python workers then hold few long texts at a time."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -47,6 +49,8 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    gc.collect()  # shuffle files of the step that is over go once its plan is collected
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -19,6 +19,8 @@ PLACES = LENGTH - GRAM + 1
 PIECE = 1 << 21
 #: Anchors that a task holds before it hands them on.
 HOLD = 1 << 20
+#: Places of one anchor up to which they are compared together, and rows of one such comparison.
+HOT, CHUNK = 20_000, 20_000
 
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -233,39 +235,94 @@ def _anchor_rows(docs: DataFrame) -> DataFrame:
     return docs.mapInPandas(run, _OUT)
 
 
-def _string_rows(partial: DataFrame, docs: DataFrame) -> DataFrame:
-    """For anchors whose strings only partly agree: a row for each of their strings, under two hashes of its bytes."""
-    wanted = partial.groupBy("doc").agg(F.collect_list(F.struct("start", "more")).alias("w"))
+def _places(more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For runs of more + 1 strings: each string's run and its place in it."""
+    n = more + 1
+    return np.repeat(np.arange(len(n)), n), np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+
+
+def _hashed(raw: bytes, more: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Two hashes of every string in joined runs of more + LENGTH bytes, its run and its place there."""
+    size = more + LENGTH
+    run, place = _places(more)
+    at = (np.cumsum(size) - size)[run] + place
+    data = np.frombuffer(raw, dtype=np.uint8)
+    return Grams(data).strings(at), Grams(data, 0x5851F42D4C957F2D).strings(at), run, place
+
+
+def _runs(partial: DataFrame, docs: DataFrame) -> DataFrame:
+    """The bytes of the strings at each partial row's anchor: a, doc, start, more, bytes."""
+    wanted = partial.groupBy("doc").agg(F.collect_list(F.struct("a", "start", "more")).alias("w"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[tuple[np.ndarray, ...]] = []
-        n = 0
         for batch in batches:
+            out = []
             for doc, text, w in zip(batch["doc"], batch["text"], batch["w"], strict=True):
                 data = utf8(text)
-                start = np.array([x["start"] for x in w], dtype=np.int64)
-                more = np.array([x["more"] for x in w], dtype=np.int64)
-                size = more + LENGTH
-                at = np.cumsum(size) - size
-                raw = np.frombuffer(b"".join([data[s : s + k] for s, k in zip(start.tolist(), size.tolist(), strict=True)]), dtype=np.uint8)
-                inner = np.arange(int((more + 1).sum())) - np.repeat(np.cumsum(more + 1) - more - 1, more + 1)
-                places = np.repeat(at, more + 1) + inner
-                held.append((Grams(raw).strings(places), Grams(raw, 0x5851F42D4C957F2D).strings(places), np.full(len(places), doc, dtype=np.int64), np.repeat(start, more + 1) + inner, np.zeros(len(places), dtype=np.int64)))
-                n += len(places)
-                if n >= HOLD:
-                    yield from _combine(held)
-                    held, n = [], 0
+                out += [(x["a"], doc, x["start"], x["more"], data[x["start"] : x["start"] + x["more"] + LENGTH]) for x in w]
+            yield pd.DataFrame(out, columns=["a", "doc", "start", "more", "bytes"])
+
+    return docs.join(wanted, "doc").mapInPandas(run, "a long, doc long, start long, more int, bytes binary")
+
+
+def _string_rows(runs: DataFrame) -> DataFrame:
+    """A row for each string, under two hashes of its bytes: for anchors that very many places share."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[tuple[np.ndarray, ...]] = []
+        n = 0
+        for b in batches:
+            h1, h2, which, place = _hashed(b"".join(b["bytes"]), b["more"].to_numpy(dtype=np.int64))
+            held.append((h1, h2, b["doc"].to_numpy()[which], b["start"].to_numpy()[which] + place, np.zeros(len(place), dtype=np.int64)))
+            n += len(place)
+            if n >= HOLD:
+                yield from _combine(held)
+                held, n = [], 0
         if n:
             yield from _combine(held)
 
-    return docs.join(wanted, "doc").mapInPandas(run, _OUT)
+    return runs.mapInPandas(run, _OUT)
+
+
+def _compared(runs: DataFrame) -> DataFrame:
+    """Spans of the later ones of equal strings, found anchor by anchor: rows of an anchor come together, whole anchors fill a chunk."""
+
+    def spans(chunk: pd.DataFrame) -> pd.DataFrame:
+        h1, h2, which, place = _hashed(b"".join(chunk["bytes"]), chunk["more"].to_numpy(dtype=np.int64))
+        doc, start = chunk["doc"].to_numpy()[which], chunk["start"].to_numpy()[which] + place
+        found = [x for x in _combine([(h1, h2, doc, start, np.zeros(len(place), dtype=np.int64))]) if x["kind"].iat[0] == 1]
+        return found[0] if found else pd.DataFrame({c: [] for c in ("kind", "a", "b", "doc", "start", "more")})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        n = 0
+        for b in batches:
+            held.append(b)
+            n += len(b)
+            if n >= CHUNK:
+                chunk = pd.concat(held, ignore_index=True)
+                a = chunk["a"].to_numpy()
+                cut_at = int(np.searchsorted(a, a[-1]))  # the last anchor may go on
+                if cut_at:
+                    yield spans(chunk.iloc[:cut_at])
+                held, n = [chunk.iloc[cut_at:]], len(chunk) - cut_at
+        if n:
+            yield spans(pd.concat(held, ignore_index=True))
+
+    return runs.repartition("a").sortWithinPartitions("a").mapInPandas(run, _OUT)
 
 
 def repeats(docs: DataFrame) -> DataFrame:
     """doc, spans (start and end of runs to remove, in order) for docs (doc long, without null or repetition; text)."""
     found = materialize(_resolve(_anchor_rows(docs), True))
-    strings = _resolve(_string_rows(found.filter("kind = 2"), docs), False)
-    spans = found.filter("kind = 1").select("doc", "start", "more").unionByName(strings.filter("kind = 1").select("doc", "start", "more"))
+    partial = found.filter("kind = 2").select("a", "doc", "start", "more")
+    hot = partial.groupBy("a").count().filter(F.col("count") > HOT).select("a")
+    if hot.limit(1).count():
+        often = _resolve(_string_rows(_runs(partial.join(hot, "a", "left_semi"), docs)), False)
+        rest = _compared(_runs(partial.join(hot, "a", "left_anti"), docs)).unionByName(often)
+    else:
+        rest = _compared(_runs(partial, docs))
+    spans = found.unionByName(materialize(rest)).filter("kind = 1")
     return spans.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("start", (F.col("start") + F.col("more")).alias("end")))).alias("spans"))
 
 
