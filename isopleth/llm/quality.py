@@ -133,7 +133,10 @@ def judge(docs: DataFrame, text: str = "text", rules: Rules = Rules(), prefix: s
 def clean(docs: DataFrame, text: str = "text", n_chars: str | None = "n_chars", rules: Rules = Rules()) -> DataFrame:
     """The documents that pass, with failing lines gone from their texts; same columns as before."""
     p = "__quality_"
-    out = judge(docs, text, rules, p).filter(F.col(f"{p}kept"))
+    judged = judge(docs, text, rules, p)
+    # a generator holds the filter above it; pushed down, it would take the counts apart and repeat them
+    verdicts = F.inline(F.array(F.struct(*(F.col(f"{p}{x}") for x in ("kept", "bad", "lines")))))
+    out = judged.select(*(F.col(f"`{c}`") for c in docs.columns), verdicts.alias(f"{p}kept", f"{p}bad", f"{p}lines")).filter(F.col(f"{p}kept"))
     changed = F.size(f"{p}bad") > 0
     out = out.withColumn(f"{p}clean", F.when(changed, F.array_join(F.filter(f"{p}lines", lambda x: ~_line_fails(x, rules)), "\n")))
     made = {text: F.coalesce(F.col(f"{p}clean"), F.col(f"`{text}`"))}
