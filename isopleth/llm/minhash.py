@@ -7,10 +7,11 @@ time, and the share of equal coordinates has the concentration bounds of t indep
 
 Coordinates are cut into `bands` bands. Documents with equal sets are one class from the start. Within a bucket
 (classes that agree on a band) every class is compared with the bucket's smallest one, on full sets; the links'
-components are found; then, in buckets that still hold several components, classes of different components are
-compared with each other, in tiles of bounded size, first by sketch (a pair goes on if its estimate is within
-`sigmas` standard deviations of the threshold), then on full sets. So no bucket is capped, copies never expand
-into all pairs, and a group that is one component costs one comparison for each member.
+components are found. Buckets that still hold several components make groups (classes that such buckets connect).
+Within a group, classes of different components are compared in tiles of bounded size, first by sketch (a pair goes
+on if its estimate is within `sigmas` standard deviations of the threshold), then on full sets; a tile hands on a
+spanning forest of the links that it finds, never its pairs. So no bucket is capped, copies never expand into all
+pairs, and a group that is one component costs one comparison for each member.
 
 Defined cases: words are runs of anything but ASCII white space, A-Z in lower case; a text with fewer than k words
 has the whole sequence as its one shingle; a null text or one without words has an empty set and links with
@@ -112,83 +113,86 @@ def signatures(docs: DataFrame, key: str, text: str, spec: Spec) -> DataFrame:
     return src.mapInPandas(run, f"key {kind}, n long, h1 long, h2 long, bands array<long>, low binary")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, spec: Spec) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough, as u, v."""
-    need = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-    src = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")).join(need, "key", "left_semi")
+def _full_sets(docs: DataFrame, keys: DataFrame, key: str, text: str, spec: Spec) -> DataFrame:
+    """key and s, the full set, for the documents whose key is in keys."""
+    src = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")).join(keys.select("key").distinct(), "key", "left_semi")
     kind = src.schema["key"].dataType.simpleString()
 
-    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             x, counts = shingle_sets([utf8(v) for v in b["text"]], spec.k)
             stops = np.cumsum(counts)
             yield pd.DataFrame({"key": b["key"], "s": [x[q - n : q].tobytes() for n, q in zip(counts, stops, strict=True)]})
 
+    return materialize(src.mapInPandas(run, f"key {kind}, s binary"))
+
+
+def _similar(x: bytes, y: bytes, percent: int) -> bool:
+    p, q = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+    if not len(p) or 100 * min(len(p), len(q)) < percent * max(len(p), len(q)):
+        return False
+    both = np.concatenate([p, q])
+    both.sort()
+    shared = int((both[1:] == both[:-1]).sum())
+    return 100 * shared >= percent * (len(both) - shared)
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, spec: Spec) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough, as u, v."""
+
     @F.pandas_udf("boolean")
     def similar(a: pd.Series, b: pd.Series) -> pd.Series:
-        out = []
-        for x, y in zip(a, b, strict=True):
-            p, q = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-            if 100 * min(len(p), len(q)) < spec.percent * max(len(p), len(q)) or not len(p):
-                out.append(False)
-                continue
-            both = np.concatenate([p, q])
-            both.sort()
-            shared = int((both[1:] == both[:-1]).sum())
-            out.append(100 * shared >= spec.percent * (len(both) - shared))
-        return pd.Series(out, dtype=bool)
-
-    full = materialize(src.mapInPandas(sets, f"key {kind}, s binary"))
+        return pd.Series([_similar(x, y, spec.percent) for x, y in zip(a, b, strict=True)], dtype=bool)
+
+    full = _full_sets(docs, pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))), key, text, spec)
     joined = pairs.join(full.select(F.col("key").alias("b"), F.col("s").alias("sb")), "b").join(full.select(F.col("key").alias("a"), F.col("s").alias("sa")), "a")
     return joined.filter(similar("sa", "sb")).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
-def _tiles(rows: DataFrame, low: DataFrame, spec: Spec) -> DataFrame:
-    """Pairs (a, b) of different components within the buckets of rows (h, n, c, key, component) that sketches don't rule out."""
+def _within(rows: DataFrame, spec: Spec) -> DataFrame:
+    """Links (u, v) that connect all components that are linked within the groups of rows (g, n, key, component, low, s)."""
     kind = rows.schema["key"].dataType.simpleString()
-    least, t = spec.least_equal, spec.t
-    many = F.ceil(F.col("n") / spec.tile).cast("int")
-    rows = rows.join(low, "key").withColumn("tiles", many).withColumn("t", F.pmod(F.xxhash64("key"), F.col("tiles")).cast("int"))
+    least, t, percent = spec.least_equal, spec.t, spec.percent
+    rows = rows.withColumn("tiles", F.ceil(F.col("n") / spec.tile).cast("int")).withColumn("t", F.pmod(F.xxhash64("key"), F.col("tiles")).cast("int"))
     rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    rows = rows.select("h", F.least("t", "o").alias("i"), F.greatest("t", "o").alias("j"), "t", "key", "component", "low", (F.col("key") == F.col("c")).alias("centre"))
-    rows = rows.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j", "key")
+    rows = rows.select("g", F.least("t", "o").alias("i"), F.greatest("t", "o").alias("j"), "t", "key", "component", "low", "s")
+    rows = rows.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j", "key")
 
-    def compare(group: pd.DataFrame) -> tuple[list, list]:
+    def compare(group: pd.DataFrame, u: list, v: list) -> None:
         sk = np.frombuffer(b"".join(group["low"]), dtype="<u2").reshape(len(group), t)
-        keys, comp, tile, centre = group["key"].to_numpy(), pd.factorize(group["component"])[0], group["t"].to_numpy(), group["centre"].to_numpy()
-        i0, j0 = group["i"].iat[0], group["j"].iat[0]
-        a, b = [], []
+        keys, sets, tile = group["key"].tolist(), group["s"].tolist(), group["t"].to_numpy()
+        label = pd.factorize(group["component"])[0]
+        across = group["i"].iat[0] != group["j"].iat[0]
         for x in range(len(group) - 1):
-            if centre[x]:
-                continue
-            ok = (comp[x + 1 :] != comp[x]) & ~centre[x + 1 :]
-            if i0 != j0:
+            ok = label[x + 1 :] != label[x]
+            if across:
                 ok &= tile[x + 1 :] != tile[x]
             y = x + 1 + np.flatnonzero(ok)
-            y = y[(sk[y] == sk[x]).sum(axis=1) >= least]
-            a.extend([keys[x]] * len(y))
-            b.extend(keys[y])
-        return a, b
+            for z in y[(sk[y] == sk[x]).sum(axis=1) >= least].tolist():
+                if label[z] != label[x] and _similar(sets[x], sets[z], percent):
+                    u.append(keys[x])
+                    v.append(keys[z])
+                    label[label == label[z]] = label[x]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest: pd.DataFrame | None = None
         for batch in batches:
             if rest is not None:
                 batch = pd.concat([rest, batch], ignore_index=True)
-            group = batch[["h", "i", "j"]].to_numpy()
-            cuts = np.flatnonzero((group[1:] != group[:-1]).any(axis=1)) + 1
-            starts = [0, *cuts.tolist()]
-            pairs: tuple[list, list] = ([], [])
+            of = [batch[c].to_numpy() for c in ("g", "i", "j")]
+            starts = [0, *(np.flatnonzero(np.any([x[1:] != x[:-1] for x in of], axis=0)) + 1).tolist()]
+            u: list = []
+            v: list = []
             for p, q in zip(starts[:-1], starts[1:], strict=True):
-                for to, got in zip(pairs, compare(batch.iloc[p:q]), strict=True):
-                    to.extend(got)
+                compare(batch.iloc[p:q], u, v)
             rest = batch.iloc[starts[-1] :]
-            yield pd.DataFrame({"a": pairs[0], "b": pairs[1]})
+            yield pd.DataFrame({"u": u, "v": v})
         if rest is not None and len(rest):
-            a, b = compare(rest)
-            yield pd.DataFrame({"a": a, "b": b})
+            u, v = [], []
+            compare(rest, u, v)
+            yield pd.DataFrame({"u": u, "v": v})
 
-    return rows.mapInPandas(run, f"a {kind}, b {kind}")
+    return rows.mapInPandas(run, f"u {kind}, v {kind}")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", spec: Spec = Spec()) -> DataFrame:
@@ -206,10 +210,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sp
 
     placed = shared.filter(F.col("n") > 2).join(comp.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     mixed = placed.groupBy("h").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter(F.col("x") != F.col("y")).select("h")
-    low = classes.select(F.col("rep").alias("key"), "low").dropDuplicates(["key"])
-    more = materialize(_tiles(placed.join(mixed, "h"), low, spec).distinct().join(star, ["a", "b"], "left_anti"))
-    if more.limit(1).count():
-        found = materialize(_verified(more, docs, key, text, spec))
+    open_ = materialize(placed.join(mixed, "h").select("c", "key", "component"))
+    if open_.limit(1).count():
+        group = components(open_.select(F.col("key").alias("u"), F.col("c").alias("v"))).select(F.col("node").alias("key"), F.col("component").alias("g"))
+        members = group.join(group.groupBy("g").agg(F.count("*").alias("n")), "g").join(open_.select("key", "component").distinct(), "key")
+        low = classes.select(F.col("rep").alias("key"), "low").dropDuplicates(["key"])
+        found = materialize(_within(members.join(low, "key").join(_full_sets(docs, members, key, text, spec), "key"), spec))
         comp = components(links.unionByName(found))
 
     of_class = classes.select("h1", "h2", "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("component"))
