@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .operators import pattern
+from .operators import centres, local, pattern
 
-_FAMILIES = (pattern,)
+_FAMILIES = (pattern, local, centres)
 
 
 def queries() -> dict:
