@@ -49,18 +49,34 @@ class Model:
         self.margins, self.bias = margins, bias
 
 
-def train(texts: list[str], labels: list[int], buckets: int = 1 << 19, dim: int = 8, epochs: int = 12, batch: int = 256, rate: float = 0.05, seed: int = 7) -> Model:
-    """Adam on the cross-entropy, over embedding and softmax together."""
+def _features(texts: list[str], buckets: int, least_docs: int) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """For each text the embedding rows it averages, with their weights; rows that fewer than least_docs texts have don't count. Rows are numbered anew, as the second result lists."""
+    index: dict[str, int] = {}
+    docs = [np.array([index.setdefault(w, len(index)) for w in words_of(t)], dtype=np.int64) for t in texts]
+    flat, size = subwords(list(index), buckets) if index else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    start = np.cumsum(size) - size
+    out, seen = [], np.zeros(buckets, dtype=np.int32)
+    for d in docs:
+        words, n = np.unique(d, return_counts=True)
+        sz = size[words]
+        at = np.arange(int(sz.sum())) - np.repeat(np.cumsum(sz) - sz, sz) + np.repeat(start[words], sz)
+        rows, back = np.unique(flat[at], return_inverse=True)
+        weights = np.bincount(back, weights=np.repeat(n / (max(1, len(d)) * np.maximum(1, sz)), sz), minlength=len(rows))
+        seen[rows] += 1
+        out.append((rows.astype(np.int32), weights.astype(np.float32)))
+    used = np.flatnonzero(seen >= least_docs)
+    number = np.full(buckets, -1, dtype=np.int32)
+    number[used] = np.arange(len(used))
+    return [(number[r][number[r] >= 0], w[number[r] >= 0]) for r, w in out], used
+
+
+def train(texts: list[str], labels: list[int], buckets: int = 1 << 19, dim: int = 8, steps: int = 360, batch: int = 256, rate: float = 0.05, seed: int = 7) -> Model:
+    """Adam on the cross-entropy, over embedding and softmax together. A word's mean and a text's mean are one weighted sum of rows, made once."""
     y = np.asarray(labels, dtype=np.int64)
     share = float(y.mean()) if len(y) else 0.0
     if share in (0.0, 1.0):
         return Model(np.zeros(buckets, dtype=np.float32), float(np.log(max(share, 1e-6) / max(1 - share, 1e-6))))
-    index: dict[str, int] = {}
-    docs = [np.array([index.setdefault(w, len(index)) for w in words_of(t)], dtype=np.int64) for t in texts]
-    flat, size = subwords(list(index), buckets)
-    start = np.concatenate([[0], np.cumsum(size)[:-1]])
-    # rows that training can reach, so that the others cost nothing
-    used, flat = np.unique(flat, return_inverse=True)
+    docs, used = _features(texts, buckets, 3 if len(texts) > 1000 else 2)
     rng = np.random.default_rng(seed)
     E = rng.uniform(-1.0 / dim, 1.0 / dim, (len(used), dim)).astype(np.float32)
     W = np.zeros((dim, 2), dtype=np.float32)
@@ -68,53 +84,31 @@ def train(texts: list[str], labels: list[int], buckets: int = 1 << 19, dim: int
     W[:, 0] = -W[:, 1]
     b = np.array([np.log(1 - share), np.log(share)], dtype=np.float32)
     state = [[np.zeros_like(p), np.zeros_like(p)] for p in (E, W, b)]
-    step = 0
-    epochs = max(epochs, -(-300 * batch // max(1, len(docs))))
-    epochs = min(epochs, 80)
-    for _ in range(epochs):
-        order = rng.permutation(len(docs))
-        for at in range(0, len(order), batch):
-            ids = order[at : at + batch]
-            lens = np.array([len(docs[i]) for i in ids])
-            full = ids[lens > 0]
-            n = np.array([len(docs[i]) for i in full], dtype=np.int64)
-            if not len(full):
-                continue
-            tokens = np.concatenate([docs[i] for i in full])
-            which = np.repeat(np.arange(len(full)), n)
-            pair, counts = np.unique(which * len(index) + tokens, return_counts=True)
-            doc, word = pair // len(index), pair % len(index)
-            uw, word = np.unique(word, return_inverse=True)
-            sz = size[uw]
-            ends = np.cumsum(sz)
-            off = np.arange(int(ends[-1])) - np.repeat(ends - sz, sz) + np.repeat(start[uw], sz)
-            sub = flat[off]
-            V = np.add.reduceat(E[sub], ends - sz, axis=0) / sz[:, None]
-            share_of = (counts / n[doc]).astype(np.float32)
-            edges = np.searchsorted(doc, np.arange(len(full)))
-            H = np.add.reduceat(V[word] * share_of[:, None], edges, axis=0)
-            Z = H @ W + b
-            Z -= Z.max(axis=1, keepdims=True)
-            P = np.exp(Z)
-            P /= P.sum(axis=1, keepdims=True)
-            P[np.arange(len(full)), y[full]] -= 1
-            G = (P / len(full)).astype(np.float32)
-            gW, gb, gH = H.T @ G, G.sum(axis=0), G @ W.T
-            gV = np.zeros_like(V)
-            gw = gH[doc] * share_of[:, None]
-            for k in range(dim):
-                gV[:, k] = np.bincount(word, weights=gw[:, k], minlength=len(uw))
-            spread = np.repeat(gV / sz[:, None], sz, axis=0)
-            us, sub_i = np.unique(sub, return_inverse=True)
-            gE = np.empty((len(us), dim), dtype=np.float32)
-            for k in range(dim):
-                gE[:, k] = np.bincount(sub_i, weights=spread[:, k], minlength=len(us))
-            step += 1
-            fix = np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
-            for (m, v), p, g, rows in zip(state, (E, W, b), (gE, gW, gb), (us, slice(None), slice(None)), strict=True):
-                m[rows] = 0.9 * m[rows] + 0.1 * g
-                v[rows] = 0.999 * v[rows] + 0.001 * g * g
-                p[rows] -= (rate * fix * m[rows] / (np.sqrt(v[rows]) + 1e-8)).astype(np.float32)
+    full = rng.permutation([i for i, (r, _) in enumerate(docs) if len(r)])
+    parts = []
+    for ids in (full[at : at + batch] for at in range(0, len(full), batch)):  # the same parts in each round, sorted once
+        rows = np.concatenate([docs[i][0] for i in ids])
+        weights = np.concatenate([docs[i][1] for i in ids])
+        n = np.array([len(docs[i][0]) for i in ids])
+        owner = np.repeat(np.arange(len(ids), dtype=np.int32), n)
+        order = np.argsort(rows, kind="stable").astype(np.int32)
+        touched, first = np.unique(rows[order], return_index=True)
+        parts.append((y[ids], rows, weights, np.cumsum(n) - n, owner[order], weights[order], touched, first))
+    del docs
+    for step in range(1, steps + 1 if parts else 1):
+        target, rows, weights, starts, owner, spread, touched, first = parts[(step - 1) % len(parts)]
+        H = np.add.reduceat(E[rows] * weights[:, None], starts, axis=0)
+        Z = H @ W + b
+        P = np.exp(Z - Z.max(axis=1, keepdims=True))
+        P /= P.sum(axis=1, keepdims=True)
+        P[np.arange(len(target)), target] -= 1
+        G = (P / len(target)).astype(np.float32)
+        gE = np.add.reduceat((G @ W.T)[owner] * spread[:, None], first, axis=0)
+        fix = np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
+        for (m, v), p, g, at in zip(state, (E, W, b), (gE, H.T @ G, G.sum(axis=0)), (touched, slice(None), slice(None)), strict=True):
+            m[at] = 0.9 * m[at] + 0.1 * g
+            v[at] = 0.999 * v[at] + 0.001 * g * g
+            p[at] -= (rate * fix * m[at] / (np.sqrt(v[at]) + 1e-8)).astype(np.float32)
     margins = np.zeros(buckets, dtype=np.float32)
     margins[used] = E @ (W[:, 1] - W[:, 0])
     return Model(margins, float(b[1] - b[0]))
