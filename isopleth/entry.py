@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .operators import centres, local, pattern
+from .operators import centres, learning, local, models, pattern
 
-_FAMILIES = (pattern, local, centres)
+_FAMILIES = (pattern, local, centres, models, learning)
 
 
 def queries() -> dict:
