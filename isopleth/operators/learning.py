@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..layer import K, pts
 from ..plans import neighbours
+from ..plans.store import stored
 
 SEED = 42
 
@@ -188,7 +189,7 @@ def dbscan(df: DataFrame, eps: float = 0.75, least: int = 5) -> DataFrame:
         least_near = links.join(labels.select(F.col("src").alias("dst"), F.col("label").alias("l")), "dst").groupBy("src").agg(F.min("l").alias("l"))
         labels = labels.join(least_near, "src", "left").select("src", F.least("label", F.coalesce("l", "label")).alias("label"))
         jump = labels.select(F.col("src").alias("label"), F.col("label").alias("up"))
-        labels = labels.join(jump, "label", "left").select("src", F.coalesce("up", "label").alias("label")).persist()
+        labels = stored(labels.join(jump, "label", "left").select("src", F.coalesce("up", "label").alias("label")))
         now = labels.agg(F.sum("label")).first()[0]
         if now == before:
             break
