@@ -34,6 +34,10 @@ from ._base import materialize, mix64, shingle_sets, small_batches, table, utf8
 from ._graph import components
 
 
+#: Ids up to this number are broadcast (about 8 MB); their texts then needn't be shuffled.
+BROADCAST_KEYS = 1_000_000
+
+
 @dataclass(frozen=True)
 class Spec:
     k: int = 5
@@ -115,7 +119,10 @@ def signatures(docs: DataFrame, key: str, text: str, spec: Spec) -> DataFrame:
 
 def _full_sets(docs: DataFrame, keys: DataFrame, key: str, text: str, spec: Spec) -> DataFrame:
     """key and s, the full set, for the documents whose key is in keys."""
-    src = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")).join(keys.select("key").distinct(), "key", "left_semi")
+    wanted = materialize(keys.select("key").distinct())
+    if wanted.count() <= BROADCAST_KEYS:  # beyond, the join shuffles the texts
+        wanted = F.broadcast(wanted)
+    src = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")).join(wanted, "key", "left_semi")
     kind = src.schema["key"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
