@@ -53,7 +53,12 @@ def _features(texts: list[str], buckets: int, least_docs: int) -> tuple[list[tup
     """For each text the embedding rows it averages, with their weights; rows that fewer than least_docs texts have don't count. Rows are numbered anew, as the second result lists."""
     index: dict[str, int] = {}
     docs = [np.array([index.setdefault(w, len(index)) for w in words_of(t)], dtype=np.int64) for t in texts]
-    flat, size = subwords(list(index), buckets) if index else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    words, bags, sizes = list(index), [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+    for i in range(0, len(words), 20_000):  # some words at a time, to hold few hashes
+        rows, n = subwords(words[i : i + 20_000], buckets)
+        bags.append(rows.astype(np.int32))
+        sizes.append(n)
+    flat, size = np.concatenate(bags), np.concatenate(sizes)
     start = np.cumsum(size) - size
     out, seen = [], np.zeros(buckets, dtype=np.int32)
     for d in docs:
@@ -135,7 +140,7 @@ class Scorer:
         return (1.0 / (1.0 + np.exp(-np.clip(z, -60, 60)))).tolist()
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", max_fit_rows: int = 8_000, max_fit_bytes: int = 1 << 16) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", max_fit_rows: int = 6_000, max_fit_bytes: int = 1 << 16) -> Model:
     """A model from the labelled documents; labels has the key and the label."""
     marks = labels.select(F.col(f"`{key}`").alias("key"), F.col(f"`{label}`").cast("int").alias("label")).filter(F.col("label").isNotNull() & F.col("key").isNotNull())
     n = marks.count()
