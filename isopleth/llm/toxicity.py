@@ -72,7 +72,11 @@ def _features(texts: list[str], buckets: int, least_docs: int) -> tuple[list[tup
     used = np.flatnonzero(seen >= least_docs)
     number = np.full(buckets, -1, dtype=np.int32)
     number[used] = np.arange(len(used))
-    return [(number[r][number[r] >= 0], w[number[r] >= 0]) for r, w in out], used
+    del index, words, bags, sizes, flat, docs
+    for i, (r, w) in enumerate(out):
+        r = number[r]
+        out[i] = r[r >= 0], w[r >= 0]
+    return out, used
 
 
 def train(texts: list[str], labels: list[int], buckets: int = 1 << 19, dim: int = 8, steps: int = 360, batch: int = 256, rate: float = 0.05, seed: int = 7) -> Model:
@@ -95,20 +99,21 @@ def train(texts: list[str], labels: list[int], buckets: int = 1 << 19, dim: int
         rows = np.concatenate([docs[i][0] for i in ids])
         weights = np.concatenate([docs[i][1] for i in ids])
         n = np.array([len(docs[i][0]) for i in ids])
-        owner = np.repeat(np.arange(len(ids), dtype=np.int32), n)
+        for i in ids:  # the parts hold them now
+            docs[i] = None
         order = np.argsort(rows, kind="stable").astype(np.int32)
         touched, first = np.unique(rows[order], return_index=True)
-        parts.append((y[ids], rows, weights, np.cumsum(n) - n, owner[order], weights[order], touched, first))
-    del docs
+        parts.append((y[ids], rows, weights, n, order, touched, first))
     for step in range(1, steps + 1 if parts else 1):
-        target, rows, weights, starts, owner, spread, touched, first = parts[(step - 1) % len(parts)]
-        H = np.add.reduceat(E[rows] * weights[:, None], starts, axis=0)
+        target, rows, weights, n, order, touched, first = parts[(step - 1) % len(parts)]
+        H = np.add.reduceat(E[rows] * weights[:, None], np.cumsum(n) - n, axis=0)
         Z = H @ W + b
         P = np.exp(Z - Z.max(axis=1, keepdims=True))
         P /= P.sum(axis=1, keepdims=True)
         P[np.arange(len(target)), target] -= 1
         G = (P / len(target)).astype(np.float32)
-        gE = np.add.reduceat((G @ W.T)[owner] * spread[:, None], first, axis=0)
+        owner = np.repeat(np.arange(len(target), dtype=np.int32), n)
+        gE = np.add.reduceat((G @ W.T)[owner[order]] * weights[order][:, None], first, axis=0)
         fix = np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
         for (m, v), p, g, at in zip(state, (E, W, b), (gE, H.T @ G, G.sum(axis=0)), (touched, slice(None), slice(None)), strict=True):
             m[at] = 0.9 * m[at] + 0.1 * g
@@ -140,7 +145,7 @@ class Scorer:
         return (1.0 / (1.0 + np.exp(-np.clip(z, -60, 60)))).tolist()
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", max_fit_rows: int = 6_000, max_fit_bytes: int = 1 << 16) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", max_fit_rows: int = 4_500, max_fit_bytes: int = 1 << 16) -> Model:
     """A model from the labelled documents; labels has the key and the label."""
     marks = labels.select(F.col(f"`{key}`").alias("key"), F.col(f"`{label}`").cast("int").alias("label")).filter(F.col("label").isNotNull() & F.col("key").isNotNull())
     n = marks.count()
