@@ -2,8 +2,10 @@
 
 Shingles are runs of five words (ASCII white space apart, A-Z in lower case). A window of g shingles has a 64-bit
 SimHash: bit b is the majority of bit b over its shingles, each as often as it occurs. Window sizes form a
-geometric grid; an item takes the largest size that fits in it, at its start, middle and end, so a verbatim copy
-has a window at distance 0 at each of them. All windows of every document are fingerprinted; counts of all 64 bits
+geometric grid; an item takes the largest size that fits in it, and the largest that fits in a third of it, each at
+its start, middle and end, so a verbatim copy has a window at distance 0 at each of them. The large windows overlap,
+so every edit is in all of them; the thirds are disjoint, so edits that leave enough of the item leave one of them
+nearly whole. All windows of every document are fingerprinted; counts of all 64 bits
 slide along the text in packed lanes of machine words.
 
 The index cuts fingerprints into four blocks of 16 bits. Two fingerprints within `radius` 11 differ by at most 2
@@ -152,10 +154,11 @@ class Items:
             self.ids.append(item)
             self.sets.append(Counter(h.tolist()))
             self.k.append(k)
-            g = max(x for x in grid(n) if x <= n)
-            prints = Counts(h).fingerprints(g)
-            for off in sorted({0, (n - g) // 2, n - g}):
-                at.setdefault((k, g), []).append((int(prints[off]), i, off))
+            own = Counts(h)
+            for g in {max(grid(n)), max(grid(max(1, n // 3)))}:
+                prints = own.fingerprints(g)
+                for off in sorted({0, (n - g) // 2, n - g}):
+                    at.setdefault((k, g), []).append((int(prints[off]), i, off))
         self.index = {kg: (MultiIndex(np.array([p for p, _, _ in x], dtype=np.uint64)), np.array([i for _, i, _ in x]), np.array([o for _, _, o in x])) for kg, x in at.items()}
         self.sizes = np.array([sum(s.values()) for s in self.sets], dtype=np.int64)
         self.reach = max((g + k for k, g in at), default=0)

@@ -131,6 +131,22 @@ def test_decontamination_against_brute_force(spark):
     assert decontaminate.matches(docs(spark, rows), spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
+@pytest.mark.parametrize(("n", "edits"), [(46, 1), (52, 1), (70, 1), (94, 2), (126, 2), (170, 3), (229, 5)])
+def test_decontamination_finds_edited_copies(n, edits):
+    rng = random.Random(1)
+    items, texts, want = [prose(rng, n + 4) for _ in range(150)], [], set()
+    for i, t in enumerate(items):
+        words = t.split()
+        for j in rng.sample(range(len(words)), edits):
+            words[j] = "x" + words[j]
+        texts.append(" ".join([prose(rng, 30), *words, prose(rng, 30)]).encode())
+        a, b = (Counter(tuple(x[j : j + 5]) for j in range(n)) for x in (t.split(), words))
+        if decontaminate.weighted_jaccard(a, b) >= 0.8:
+            want.add((i, i))
+    got = {x[:2] for x in decontaminate.Items(list(enumerate(items))).search(texts, 0.8)}
+    assert len(want) >= 100 and got == want
+
+
 def test_multi_index_finds_all_within_radius():
     rng = np.random.default_rng(2)
     prints = rng.integers(0, 2**63, 50).astype(np.uint64)
