@@ -11,18 +11,21 @@ slide along the text in packed lanes of machine words.
 The index cuts fingerprints into four blocks of 16 bits. Two fingerprints within `radius` 11 differ by at most 2
 in some block, so looking every block up among the values within distance 2 finds all of them. Each
 candidate is then verified: among the windows of the item's own size around its place, the best weighted Jaccard
-similarity of shingle multisets must be `similarity` or more.
+similarity of shingle multisets must be `similarity` or more. A window that passes the text's start or end is clipped:
+it holds the shingles that exist there, so a copy that a text cuts short counts by what it has of the item.
 
 Items are taken `item_block` at a time, each block with one pass over the documents, so what is sent to the
 executors stays bounded.
 
 Defined cases: null or empty texts and items match nothing; an item of fewer than five words is one shingle of all
-its words and matches those words in order; a document shorter than an item's window has no window for it; repeated
+its words and matches those words in order; a document shorter than an item has clipped windows only, and
+none if it is shorter than the item's smallest fingerprinted window; repeated
 rows match alike; a null id is carried along; other columns are not read; empty tables give no rows.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -186,16 +189,17 @@ class Items:
         out = []
         for (t, i), starts in found.items():
             k, n = self.k[i], int(self.sizes[i])
-            low, high = int(stops[t] - counts[t]), int(stops[t]) - n - k + 1
+            low, m = int(stops[t] - counts[t]), int(counts[t]) - k + 1
+            least = min(n, max(1, math.ceil(similarity * n - 1e-9)))  # fewer shingles can't reach the similarity
             slack = max(1, n // 4)
-            places = sorted({x for a in starts for x in range(max(low, a - slack), min(high, a + slack) + 1)})
+            places = sorted({x for a in starts for x in range(max(least - n, a - low - slack), min(m - least, a - low + slack) + 1)})
             if not places:
                 continue
-            base = places[0]
-            h = _rolled(words[base : places[-1] + n + k - 1], k).tolist()
-            best, where = max(((weighted_jaccard(Counter(h[x - base : x - base + n]), self.sets[i]), -x) for x in places))
+            base, end = max(0, places[0]), min(m, places[-1] + n)
+            h = _rolled(words[low + base : low + end + k - 1], k).tolist()
+            best, where = max(((weighted_jaccard(Counter(h[max(0, x) - base : min(m, x + n) - base]), self.sets[i]), -x) for x in places))
             if best >= similarity:
-                out.append((t, i, best, -where - low, -where - low + n + k - 1))
+                out.append((t, i, best, max(0, -where), min(m, n - where) + k - 1))
         return sorted(out)
 
 

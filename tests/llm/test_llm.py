@@ -147,6 +147,21 @@ def test_decontamination_finds_edited_copies(n, edits):
     assert len(want) >= 100 and got == want
 
 
+@pytest.mark.parametrize("n", [9, 20, 52, 94])
+@pytest.mark.parametrize("end", ["first", "last"])
+def test_decontamination_finds_items_cut_short(n, end):
+    rng = random.Random(n)
+    words = prose(rng, n + 4).split()
+    items = decontaminate.Items([(0, " ".join(words))])
+    for cut in range(n // 5 + 1):
+        kept = words[cut:] if end == "first" else words[: len(words) - cut]
+        whole, inside = " ".join(kept).encode(), " ".join([prose(rng, 30)] * (end == "last") + kept + [prose(rng, 30)] * (end == "first")).encode()
+        got = {t: x for t, *x in items.search([whole, inside], 0.8)}
+        assert got[0] == [0, pytest.approx((n - cut) / n), 0, len(kept)]
+        assert got[1][1] >= (n - cut) / n - 1e-9
+    assert not items.search([" ".join(words[n // 5 + 1 :]).encode()], 0.8)
+
+
 def test_multi_index_finds_all_within_radius():
     rng = np.random.default_rng(2)
     prints = rng.integers(0, 2**63, 50).astype(np.uint64)
