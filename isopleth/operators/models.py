@@ -87,18 +87,19 @@ def glr(df: DataFrame, y: str, xs: list[str], family: str, steps: int = 100, tol
 
 
 def quantile(df: DataFrame, y: str, xs: list[str], tau: float = 0.5, steps: int = 100, tolerance: float = 1e-6) -> DataFrame:
-    """Quantile regression by reweighted least squares on the pinball loss."""
+    """Quantile regression by reweighted least squares on the pinball loss; each row says after how many steps it ended and whether it converged."""
     df = df.dropna(subset=[y, *xs]).persist()
     k = len(xs) + 1
-    beta = ols(df, y, xs)["beta"]
-    for _ in range(steps):
+    beta, step, converged = ols(df, y, xs)["beta"], 0, False
+    for step in range(1, steps + 1):
         r = F.col(y) - predict(xs, beta)
         m = gram(df, [F.lit(1.0), *(F.col(x) for x in xs), F.col(y)], F.when(r >= 0, tau).otherwise(1 - tau) / F.greatest(F.abs(r), F.lit(1e-6)))
         new = np.linalg.pinv(m[:k, :k]) @ m[:k, k]
         moved, beta = float(np.abs(new - beta).max()), new
         if moved < tolerance:
+            converged = True
             break
-    return df.sparkSession.createDataFrame([(n, float(b)) for n, b in zip(["intercept", *xs], beta, strict=True)], "term string, estimate double")
+    return df.sparkSession.createDataFrame([(n, float(b), step, converged) for n, b in zip(["intercept", *xs], beta, strict=True)], "term string, estimate double, iterations int, converged boolean")
 
 
 def regimes(df: DataFrame, y: str, xs: list[str], regime: str) -> DataFrame:
@@ -284,7 +285,7 @@ QUERIES = {
     "ols_regression": lambda s, d: ols_terms(reg(s, d), "y", _X),
     "exploratory_regression": lambda s, d: exploratory(reg(s, d), "y", _X),
     "generalized_linear_regression": lambda s, d: glr(reg(s, d), "bin", _X, "logistic"),
-    "quantile_regression": lambda s, d: quantile(reg(s, d), "y", _X, steps=20),
+    "quantile_regression": lambda s, d: quantile(reg(s, d), "y", _X),
     "spatial_regime_regression": lambda s, d: regimes(reg(s, d), "y", _X, "regime"),
     "lm_diagnostics": lambda s, d: lm_diagnostics(pts(s, d), _knn(s, d), "v1", ["v2", "v3"]),
     "spatial_durbin_model": lambda s, d: durbin(pts(s, d), _knn(s, d), "v1", ["v2", "v3"]),

@@ -58,6 +58,19 @@ def test_ols_and_glr(spark):
         models.glr(bad, "y", ["x"], "poisson")
 
 
+def test_quantile_takes_its_own_steps(spark, monkeypatch):
+    df = spark.createDataFrame([(float(i), float(2 + 3 * i + (40 if i % 5 == 0 else 0))) for i in range(40)], "x1 double, y double")
+    got = models.quantile(df, "y", ["x1"], steps=2).collect()
+    assert [(r["iterations"], r["converged"]) for r in got] == [(2, False)] * 2
+    got = models.quantile(df, "y", ["x1"]).collect()
+    assert [r["estimate"] for r in got] == pytest.approx([2, 3], abs=1e-3) and got[0]["converged"] and got[0]["iterations"] > 2
+    seen = []
+    monkeypatch.setattr(models, "reg", lambda s, d: None)
+    monkeypatch.setattr(models, "quantile", lambda *a, **more: seen.append(more))
+    models.QUERIES["quantile_regression"](spark, "")
+    assert seen == [{}]
+
+
 def test_median_center(spark):
     df = spark.createDataFrame([(0.0, 0.0, 1.0), (2.0, 0.0, 1.0), (0.0, 2.0, 1.0), (2.0, 2.0, 1.0)], "x double, y double, w double")
     r = centres.median_center(df).first()
