@@ -4,8 +4,9 @@ A word is the bag of its own entry and its character n-grams (3 to 6, `<` and `>
 `buckets` rows of an embedding; its vector is their mean. A text is the mean of its words' vectors, and a softmax
 over two classes reads it (Joulin et al. 2017). A misspelling shares most n-grams with the word it hides.
 
-Training takes a sample of labelled rows, at most about `max_fit_rows` (by a hash of the id), of texts up to
-`max_fit_bytes` each; a classifier may be fitted on a bounded sample. Scoring reads every text whole. As the
+Training takes a sample of labelled rows by a hash of the id, at most about `max_fit_rows` and about `max_fit_bytes`
+of text in all; a classifier may be fitted on a bounded sample. Texts in it are read whole, whatever their size, and
+no word or n-gram is left out. Scoring reads every text whole. As the
 softmax is linear, a word adds one number to its text's mean, so a worker computes it once for each word.
 
 Defined cases: a null text or one without a word scores as the bias alone; rows without a label aren't learned
@@ -15,7 +16,7 @@ score is the share of the label (0 without rows); repeated rows score alike.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -49,43 +50,34 @@ class Model:
         self.margins, self.bias = margins, bias
 
 
-def _features(texts: list[str], buckets: int, least_docs: int) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
-    """For each text the embedding rows it averages, with their weights; rows that fewer than least_docs texts have don't count. Rows are numbered anew, as the second result lists."""
+def _features(texts: Iterable[str], buckets: int) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray, np.ndarray, np.ndarray]:
+    """For each text its distinct words and their shares; then all words' bags one after the other, their sizes, and the embedding rows that the bags' numbers stand for."""
     index: dict[str, int] = {}
-    docs = [np.array([index.setdefault(w, len(index)) for w in words_of(t)], dtype=np.int64) for t in texts]
+    docs = []
+    for t in texts:
+        d = np.array([index.setdefault(w, len(index)) for w in words_of(t)], dtype=np.int32)
+        words, n = np.unique(d, return_counts=True)
+        docs.append((words, (n / max(1, len(d))).astype(np.float32)))
     words, bags, sizes = list(index), [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+    del index
     for i in range(0, len(words), 20_000):  # some words at a time, to hold few hashes
         rows, n = subwords(words[i : i + 20_000], buckets)
         bags.append(rows.astype(np.int32))
         sizes.append(n)
     flat, size = np.concatenate(bags), np.concatenate(sizes)
-    start = np.cumsum(size) - size
-    out, seen = [], np.zeros(buckets, dtype=np.int32)
-    for d in docs:
-        words, n = np.unique(d, return_counts=True)
-        sz = size[words]
-        at = np.arange(int(sz.sum())) - np.repeat(np.cumsum(sz) - sz, sz) + np.repeat(start[words], sz)
-        rows, back = np.unique(flat[at], return_inverse=True)
-        weights = np.bincount(back, weights=np.repeat(n / (max(1, len(d)) * np.maximum(1, sz)), sz), minlength=len(rows))
-        seen[rows] += 1
-        out.append((rows.astype(np.int32), weights.astype(np.float32)))
-    used = np.flatnonzero(seen >= least_docs)
-    number = np.full(buckets, -1, dtype=np.int32)
-    number[used] = np.arange(len(used))
-    del index, words, bags, sizes, flat, docs
-    for i, (r, w) in enumerate(out):
-        r = number[r]
-        out[i] = r[r >= 0], w[r >= 0]
-    return out, used
-
-
-def train(texts: list[str], labels: list[int], buckets: int = 1 << 19, dim: int = 8, steps: int = 360, batch: int = 256, rate: float = 0.05, seed: int = 7) -> Model:
-    """Adam on the cross-entropy, over embedding and softmax together. A word's mean and a text's mean are one weighted sum of rows, made once."""
+    seen = np.zeros(buckets, dtype=bool)
+    seen[flat] = True
+    return docs, (np.cumsum(seen, dtype=np.int32) - 1)[flat], size, np.flatnonzero(seen)
+
+
+def train(texts: Iterable[str], labels: list[int], buckets: int = 1 << 19, dim: int = 8, steps: int = 360, batch: int = 256, rate: float = 0.05, seed: int = 7) -> Model:
+    """Adam on the cross-entropy, over embedding and softmax together. Texts are kept as word numbers and words as bags, once each; a step expands the words of its batch."""
     y = np.asarray(labels, dtype=np.int64)
     share = float(y.mean()) if len(y) else 0.0
     if share in (0.0, 1.0):
         return Model(np.zeros(buckets, dtype=np.float32), float(np.log(max(share, 1e-6) / max(1 - share, 1e-6))))
-    docs, used = _features(texts, buckets, 3 if len(texts) > 1000 else 2)
+    docs, flat, size, used = _features(texts, buckets)
+    start = np.cumsum(size) - size
     rng = np.random.default_rng(seed)
     E = rng.uniform(-1.0 / dim, 1.0 / dim, (len(used), dim)).astype(np.float32)
     W = np.zeros((dim, 2), dtype=np.float32)
@@ -93,27 +85,29 @@ def train(texts: list[str], labels: list[int], buckets: int = 1 << 19, dim: int
     W[:, 0] = -W[:, 1]
     b = np.array([np.log(1 - share), np.log(share)], dtype=np.float32)
     state = [[np.zeros_like(p), np.zeros_like(p)] for p in (E, W, b)]
-    full = rng.permutation([i for i, (r, _) in enumerate(docs) if len(r)])
-    parts = []
-    for ids in (full[at : at + batch] for at in range(0, len(full), batch)):  # the same parts in each round, sorted once
-        rows = np.concatenate([docs[i][0] for i in ids])
-        weights = np.concatenate([docs[i][1] for i in ids])
-        n = np.array([len(docs[i][0]) for i in ids])
-        for i in ids:  # the parts hold them now
-            docs[i] = None
-        order = np.argsort(rows, kind="stable").astype(np.int32)
-        touched, first = np.unique(rows[order], return_index=True)
-        parts.append((y[ids], rows, weights, n, order, touched, first))
+    full = rng.permutation([i for i, (w, _) in enumerate(docs) if len(w)])
+    parts = [full[at : at + batch] for at in range(0, len(full), batch)]
     for step in range(1, steps + 1 if parts else 1):
-        target, rows, weights, n, order, touched, first = parts[(step - 1) % len(parts)]
-        H = np.add.reduceat(E[rows] * weights[:, None], np.cumsum(n) - n, axis=0)
+        ids = parts[(step - 1) % len(parts)]
+        target, weights = y[ids], np.concatenate([docs[i][1] for i in ids])
+        n = np.array([len(docs[i][0]) for i in ids])
+        words, back = np.unique(np.concatenate([docs[i][0] for i in ids]), return_inverse=True)
+        sz = size[words]
+        first_row = np.cumsum(sz) - sz
+        rows = flat[np.arange(int(sz.sum())) + np.repeat(start[words] - first_row, sz)]
+        share_of = (1 / sz).astype(np.float32)[:, None]
+        V = np.add.reduceat(E[rows], first_row, axis=0) * share_of
+        H = np.add.reduceat(V[back] * weights[:, None], np.cumsum(n) - n, axis=0)
         Z = H @ W + b
         P = np.exp(Z - Z.max(axis=1, keepdims=True))
         P /= P.sum(axis=1, keepdims=True)
         P[np.arange(len(target)), target] -= 1
         G = (P / len(target)).astype(np.float32)
-        owner = np.repeat(np.arange(len(target), dtype=np.int32), n)
-        gE = np.add.reduceat((G @ W.T)[owner[order]] * weights[order][:, None], first, axis=0)
+        gD = np.repeat(G @ W.T, n, axis=0) * weights[:, None]
+        gV = np.stack([np.bincount(back, weights=gD[:, j], minlength=len(words)) for j in range(dim)], axis=1).astype(np.float32) * share_of
+        order = np.argsort(rows, kind="stable")
+        touched, first = np.unique(rows[order], return_index=True)
+        gE = np.add.reduceat(gV[np.repeat(np.arange(len(words)), sz)[order]], first, axis=0)
         fix = np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
         for (m, v), p, g, at in zip(state, (E, W, b), (gE, H.T @ G, G.sum(axis=0)), (touched, slice(None), slice(None)), strict=True):
             m[at] = 0.9 * m[at] + 0.1 * g
@@ -145,16 +139,20 @@ class Scorer:
         return (1.0 / (1.0 + np.exp(-np.clip(z, -60, 60)))).tolist()
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", max_fit_rows: int = 4_500, max_fit_bytes: int = 1 << 16) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", max_fit_rows: int = 12_000, max_fit_bytes: int = 64 << 20) -> Model:
     """A model from the labelled documents; labels has the key and the label."""
     marks = labels.select(F.col(f"`{key}`").alias("key"), F.col(f"`{label}`").cast("int").alias("label")).filter(F.col("label").isNotNull() & F.col("key").isNotNull())
+    rows = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")).filter(F.col("text").isNotNull())
+
+    def sample(of: DataFrame, part: float) -> DataFrame:
+        return of.filter(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < int((1 << 30) * part)) if part < 1 else of
+
     n = marks.count()
-    if n > max_fit_rows:
-        marks = marks.filter(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < int((1 << 30) * max_fit_rows / n))
+    part = min(1.0, max_fit_rows / max(1, n))
+    size = rows.join(F.broadcast(sample(marks, part)), "key").agg(F.sum(F.octet_length("text"))).first()[0] or 0
     # the marks are about max_fit_rows of two numbers each by now
-    rows = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")).filter(F.octet_length("text") <= max_fit_bytes).join(F.broadcast(marks), "key")
-    got = rows.select("key", "text", "label").toArrow().sort_by([("key", "ascending"), ("label", "ascending")])
-    return train(got["text"].to_pylist(), [1 if x else 0 for x in got["label"].to_pylist()])
+    got = rows.join(F.broadcast(sample(marks, part * min(1.0, max_fit_bytes / max(1, size)))), "key").select("key", "text", "label").toArrow().sort_by([("key", "ascending"), ("label", "ascending")])
+    return train((t.as_py() for t in got["text"]), [1 if x else 0 for x in got["label"].to_pylist()])
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

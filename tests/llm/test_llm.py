@@ -303,6 +303,21 @@ def test_toxicity(spark):
     assert toxicity.score(df, toxicity.fit(df, labels.limit(0))).count() == 162
 
 
+def test_toxicity_learns_rare_words():
+    rng = random.Random(4)
+    texts = [prose(rng, 5) for _ in range(1100)] + ["zyxomorph"]
+    model = toxicity.train(texts, [i % 2 for i in range(1100)] + [1], steps=5)
+    assert (model.margins[toxicity.subwords(["zyxomorph"], len(model.margins))[0]] != 0).all()
+
+
+def test_toxicity_samples_texts_of_any_size(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda texts, labels: seen.append((sorted(map(len, texts)), labels)))
+    rows = [(1, "a b"), (2, "c d " * 50_000), (3, None)]
+    toxicity.fit(docs(spark, rows), spark.createDataFrame([(1, 0), (2, 1), (3, 1)], "doc_id long, toxic int"))
+    assert seen == [([3, 200_000], [0, 1])]
+
+
 def quality_by_hand(text):
     import re
 
