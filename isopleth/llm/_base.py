@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import gc
 import uuid
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words of all operators that count or shingle words: runs of anything but these ASCII separators.
@@ -33,15 +34,18 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a local one only where that is unset, as in tests."""
+    """The folder in spark.checkpoint.dir. Where that is unset, as in tests, one is made, in local mode only."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+    context = spark.sparkContext._jsc.sc()
+    if not context.getCheckpointDir().isDefined():
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         import tempfile
 
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="isopleth-"))
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    return context.getCheckpointDir().get()
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -49,11 +53,44 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    gc.collect()  # shuffle files of the step that is over go once its plan is collected
-    spark.sparkContext._jvm.System.gc()
+    spark.sparkContext._jvm.System.gc()  # shuffle files of the step that is over go once its plan is collected
     return spark.read.schema(df.schema).parquet(path)
 
 
+def named(columns: Sequence[str]) -> Column:
+    """The columns as one struct, under which none can clash with a name used inside."""
+    return F.struct(*(F.col(f"`{c}`") for c in columns)) if columns else F.struct(F.lit(1).alias("none"))
+
+
+def with_made(docs: DataFrame, keep: Sequence[str], inputs: Sequence[Column], made: str, start: Callable[[], Callable[..., list]]) -> DataFrame:
+    """The columns in keep, unchanged, and those of the schema `made`; a made column replaces a kept one of its name.
+
+    start() gives a worker its function from the inputs of a batch, each a list of values, to a list for each made
+    column. Kept values stay Arrow data, so ids beside a null id keep all their digits.
+    """
+    spec = docs.sparkSession.createDataFrame([], made).schema
+    keep = [c for c in keep if c not in spec.names]
+    src = docs.select(named(keep).alias("kept"), *(c.alias(f"in{i}") for i, c in enumerate(inputs)))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        fields = [pa.field(f.name, to_arrow_type(f.dataType)) for f in spec]
+        work = start()
+        for b in batches:
+            got = work(*(c.to_pylist() for c in b.columns[1:]))
+            cols = [pa.array(v, type=f.type) for v, f in zip(got, fields, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.StructArray.from_arrays(cols, fields=fields)], names=["kept", "made"])
+
+    out = src.mapInArrow(run, _typed(src, spec))
+    return out.select(*(F.col(f"kept.`{c}`") for c in keep), *(F.col(f"made.`{c}`") for c in spec.names))
+
+
+def _typed(src: DataFrame, spec):
+    from pyspark.sql.types import StructField, StructType
+
+    return StructType([StructField("kept", src.schema["kept"].dataType), StructField("made", spec)])
+
+
 def utf8(text: str | None) -> bytes:
     """UTF-8 of a text; lone surrogates, which Spark never yields, become '?'."""
     return (text or "").encode("utf-8", "replace")

@@ -1,8 +1,27 @@
-"""Removal of repeated byte strings (operator 8)."""
+"""Removal of repeated byte strings (operator 8), by external induced sorting of suffixes.
+
+Strings of 100 bytes that may be equal must meet in one shard: every string is tied to an anchor, the least hash of the
+36-byte runs in it, and shards are dealt by anchor. Strings in a row that share one place of an anchor are a stretch.
+Equal stretches are folded on the way (the earliest goes on, later ones are repeats), and an anchor of one stretch
+has nothing to compare. A shard joins what is left, its stretches' bytes, into one text, sorts all its suffixes
+by external induced sorting (see `induced`), and reads groups of equal strings from the common prefixes: the earliest
+stays, the others are repeats. A shard may be far larger than a task's memory.
+
+An anchor with more than HOT different stretches is dealt by more of its context: its strings are cut into pieces by where
+the anchor stands in them, and all strings of a piece share 88 bytes, which decide the shard.
+
+Equality of stretches is that of 128 bits of hashes; that of strings is of bytes, to `depth`.
+
+Defined cases: a null or short text has no repeats; documents go by id, a null id first, and rows with the same id by a
+hash of their text, then by the text, then as they come, so of repeated rows one keeps its text; ids of any type that
+sorts; texts of any length are read whole; an empty table gives no rows; other columns are carried along unchanged,
+whatever their names, but a column `spans` is replaced.
+"""
 
 from __future__ import annotations
 
 import hashlib
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,7 +29,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._base import materialize, mix64, small_batches, table, utf8
+from . import induced
+from ._base import materialize, mix64, named, small_batches, table, utf8, with_made
 
 #: Bytes of the strings that must not repeat, of the anchor within each, and places that an anchor can take.
 LENGTH, GRAM = 100, 36
@@ -19,8 +39,12 @@ PLACES = LENGTH - GRAM + 1
 PIECE = 1 << 21
 #: Anchors that a task holds before it hands them on.
 HOLD = 1 << 20
-#: Places of one anchor up to which they are compared together, and rows of one such comparison.
-HOT, CHUNK = 20_000, 20_000
+#: Stretches of one anchor up to which they are dealt by the anchor alone, and places of the anchor in a piece beyond.
+HOT, SPREAD = 20_000, 13
+#: Bytes of text, and of the sort's queues, that a shard holds in memory.
+MEMORY = 128 << 20
+#: Stands between stretches; no byte of UTF-8.
+BETWEEN = b"\xff"
 
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -132,6 +156,7 @@ def _merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nda
     return doc[at], start[at], np.maximum.reduceat(end, at)
 
 
+#: Of kinds 0 and 2: more has in its low 8 bits the number of strings after the first, and then the anchor's place in the first.
 _ROW = "a long, b long, doc long, start long, more int"
 _OUT = "kind int, " + _ROW
 
@@ -141,7 +166,7 @@ def _frame(kind: int, a: np.ndarray, b: np.ndarray, doc: np.ndarray, start: np.n
 
 
 def _spans(doc: np.ndarray, start: np.ndarray, more: np.ndarray) -> pd.DataFrame:
-    """Rows of kind 1: bytes to remove, from start; more counts them."""
+    """Rows of kind 1: bytes to remove, from start; more counts them. Here more counts the strings after the first."""
     doc, start, end = _merged(doc, start, start + more + LENGTH)
     zero = np.zeros(len(doc), dtype=np.uint64)
     return _frame(1, zero, zero, doc, start, end - start)
@@ -165,7 +190,7 @@ def _combine(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pd.DataFrame]:
     go = np.concatenate([o[~many], some[new]])
     yield _frame(0, a[go], b[go], doc[go], start[go], more[go])
     if len(repeats):
-        yield _spans(doc[repeats], start[repeats], more[repeats])
+        yield _spans(doc[repeats], start[repeats], more[repeats] & 255)
 
 
 def _resolve(rows: DataFrame, want_partial: bool) -> DataFrame:
@@ -195,7 +220,7 @@ def _resolve(rows: DataFrame, want_partial: bool) -> DataFrame:
             ls = np.where(lead >= 0, start[heads[np.maximum(lead, 0)]] if len(heads) else 0, last[3] if last else 0)
             late = ~new_b & ((doc != ld) | (start != ls))
             if late.any():
-                yield _spans(doc[late], start[late], more[late])
+                yield _spans(doc[late], start[late], more[late] & 255)
             if want_partial:
                 again = np.flatnonzero(new_b & ~new_a)  # a further class of the same anchor
                 if len(again):
@@ -223,8 +248,8 @@ def _anchor_rows(docs: DataFrame) -> DataFrame:
         held: list[tuple[np.ndarray, ...]] = []
         n = 0
         for batch in batches:
-            own, start, more, _, gram, content = anchors_of([utf8(t) for t in batch["text"]])
-            held.append((gram, content, batch["doc"].to_numpy(dtype=np.int64)[own], start, more))
+            own, start, more, inner, gram, content = anchors_of([utf8(t) for t in batch["text"]])
+            held.append((gram, content, batch["doc"].to_numpy(dtype=np.int64)[own], start, more | inner << 8))
             n += len(own)
             if n >= HOLD:
                 yield from _combine(held)
@@ -235,94 +260,125 @@ def _anchor_rows(docs: DataFrame) -> DataFrame:
     return docs.mapInPandas(run, _OUT)
 
 
-def _places(more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For runs of more + 1 strings: each string's run and its place in it."""
-    n = more + 1
-    return np.repeat(np.arange(len(n)), n), np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-
-
-def _hashed(raw: bytes, more: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Two hashes of every string in joined runs of more + LENGTH bytes, its run and its place there."""
-    size = more + LENGTH
-    run, place = _places(more)
-    at = (np.cumsum(size) - size)[run] + place
-    data = np.frombuffer(raw, dtype=np.uint8)
-    return Grams(data).strings(at), Grams(data, 0x5851F42D4C957F2D).strings(at), run, place
-
-
 def _runs(partial: DataFrame, docs: DataFrame) -> DataFrame:
     """The bytes of the strings at each partial row's anchor: a, doc, start, more, bytes."""
-    wanted = partial.groupBy("doc").agg(F.collect_list(F.struct("a", "start", "more")).alias("w"))
+    wanted = partial.groupBy("doc").agg(F.collect_list(F.struct("a", "start", "more")).alias("w"))  # bounded by the text
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for doc, text, w in zip(batch["doc"], batch["text"], batch["w"], strict=True):
-                data = utf8(text)
-                out += [(x["a"], doc, x["start"], x["more"], data[x["start"] : x["start"] + x["more"] + LENGTH]) for x in w]
-            yield pd.DataFrame(out, columns=["a", "doc", "start", "more", "bytes"])
+        for b in batches:
+            size = b["a"].map(len).to_numpy()
+            start, more = np.concatenate(b["start"].tolist()), np.concatenate(b["more"].tolist())
+            end = (start + (more & 255) + LENGTH).tolist()
+            texts, at, out = [utf8(t) for t in b["text"]], 0, []
+            begin = start.tolist()
+            for data, n in zip(texts, size.tolist(), strict=True):
+                out += [data[begin[i] : end[i]] for i in range(at, at + n)]
+                at += n
+            yield pd.DataFrame({"a": np.concatenate(b["a"].tolist()), "doc": np.repeat(b["doc"].to_numpy(), size), "start": start, "more": more, "bytes": out})
 
-    return docs.join(wanted, "doc").mapInPandas(run, "a long, doc long, start long, more int, bytes binary")
+    rows = docs.join(wanted, "doc").select("doc", "text", F.col("w.a").alias("a"), F.col("w.start").alias("start"), F.col("w.more").alias("more"))
+    return rows.mapInPandas(run, "a long, doc long, start long, more int, bytes binary")
 
 
-def _string_rows(runs: DataFrame) -> DataFrame:
-    """A row for each string, under two hashes of its bytes: for anchors that very many places share."""
+def _pieces(runs: DataFrame) -> DataFrame:
+    """Rows of kind 0 for parts of stretches whose strings have the anchor at SPREAD neighbouring places; they are known by the bytes that all such strings share."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[tuple[np.ndarray, ...]] = []
-        n = 0
         for b in batches:
-            h1, h2, which, place = _hashed(b"".join(b["bytes"]), b["more"].to_numpy(dtype=np.int64))
-            held.append((h1, h2, b["doc"].to_numpy()[which], b["start"].to_numpy()[which] + place, np.zeros(len(place), dtype=np.int64)))
-            n += len(place)
-            if n >= HOLD:
-                yield from _combine(held)
-                held, n = [], 0
-        if n:
-            yield from _combine(held)
+            out = []
+            for a, doc, start, packed, data in zip(b["a"].tolist(), b["doc"].tolist(), b["start"].tolist(), b["more"].tolist(), b["bytes"], strict=True):
+                more, inner = packed & 255, packed >> 8
+                for low in range((inner - more) // SPREAD * SPREAD, inner + 1, SPREAD):
+                    high = min(low + SPREAD, PLACES) - 1
+                    first, last = inner - min(high, inner), inner - max(low, inner - more)
+                    shared = data[inner - low : inner + LENGTH - high]
+                    key = hashlib.blake2b(shared, digest_size=8, salt=(a & 0xFFFFFFFFFFFFFFFF).to_bytes(8, "little"), person=bytes([low])).digest()
+                    content = hashlib.blake2b(data[first : last + LENGTH], digest_size=8, person=bytes([inner - first])).digest()
+                    out.append((0, int.from_bytes(key, "little", signed=True), int.from_bytes(content, "little", signed=True), doc, start + first, last - first))
+            yield pd.DataFrame(out, columns=["kind", "a", "b", "doc", "start", "more"])
 
     return runs.mapInPandas(run, _OUT)
 
 
-def _compared(runs: DataFrame) -> DataFrame:
-    """Spans of the later ones of equal strings, found anchor by anchor: rows of an anchor come together, whole anchors fill a chunk."""
+class Shard:
+    """Stretches joined to one text; it goes to an unnamed file when it is larger than `memory`."""
+
+    def __init__(self, memory: int):
+        self.memory, self.size = memory, 0
+        self.file = tempfile.SpooledTemporaryFile(max_size=memory, dir=induced.scratch_folder())
+        self.parts: list[tuple[np.ndarray, ...]] = []
 
-    def spans(chunk: pd.DataFrame) -> pd.DataFrame:
-        h1, h2, which, place = _hashed(b"".join(chunk["bytes"]), chunk["more"].to_numpy(dtype=np.int64))
-        doc, start = chunk["doc"].to_numpy()[which], chunk["start"].to_numpy()[which] + place
-        found = [x for x in _combine([(h1, h2, doc, start, np.zeros(len(place), dtype=np.int64))]) if x["kind"].iat[0] == 1]
-        return found[0] if found else pd.DataFrame({c: [] for c in ("kind", "a", "b", "doc", "start", "more")})
+    def add(self, doc: np.ndarray, start: np.ndarray, more: np.ndarray, data: list[bytes]) -> None:
+        sizes = np.fromiter(map(len, data), dtype=np.int64, count=len(data)) + 1
+        self.parts.append((doc, start, more & 255, self.size + np.cumsum(sizes) - sizes))
+        self.file.write(BETWEEN.join(data) + BETWEEN)
+        self.size += int(sizes.sum())
+
+    def text(self) -> np.ndarray:
+        self.file.write(b"\0" * 16)
+        if self.size + 16 <= self.memory:
+            self.file.seek(0)
+            return np.frombuffer(self.file.read(), dtype=np.uint8)
+        self.file.rollover()
+        return np.memmap(self.file, dtype=np.uint8, mode="r", shape=(self.size + 16,))
+
+    def spans(self) -> Iterator[pd.DataFrame]:
+        """Spans of all strings that are equal to an earlier one."""
+        if not self.parts:
+            return
+        docs, starts, more, begin = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        late = induced.scratch(self.size, np.bool_, self.memory)
+        first: tuple[int, int, int] | None = None  # place, document and start of the earliest string of a group that goes on
+        for pos, common in induced.descending(self.text(), self.size, LENGTH, self.memory):
+            linked = common >= LENGTH
+            some = np.flatnonzero(linked | np.append(linked[1:], True))
+            run = np.searchsorted(begin, pos[some], side="right") - 1
+            inside = pos[some] - begin[run]
+            whole = inside <= more[run]  # others reach over a stretch's end
+            some, run, inside = some[whole], run[whole], inside[whole]
+            label = np.cumsum(~linked)
+            group, place, doc, start = label[some], pos[some], docs[run], starts[run] + inside
+            if first is not None and linked[0]:
+                group, place, doc, start = (np.append(v, x) for v, x in zip((group, place, doc, start), (0, *first), strict=True))
+            order = np.lexsort((start, doc, group))
+            head = np.ones(len(order), dtype=bool)
+            head[1:] = group[order[1:]] != group[order[:-1]]
+            late[place[order[~head]]] = True
+            own = order[head][-1:]
+            first = (place[own[0]], doc[own[0]], start[own[0]]) if len(own) and group[own[0]] == label[-1] else None
+        for a in range(0, self.size, PIECE):
+            at = np.flatnonzero(late[a : a + PIECE]) + a
+            if len(at):
+                run = np.searchsorted(begin, at, side="right") - 1
+                new = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1] + 1) | (run[1:] != run[:-1])]))
+                n = np.diff(np.append(new, len(at)))
+                yield _spans(docs[run[new]], starts[run[new]] + at[new] - begin[run[new]], n - 1)
+
+
+def _sorted(runs: DataFrame, memory: int) -> DataFrame:
+    """Spans of the later ones of equal strings: one shard a task, its suffixes sorted."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-        n = 0
+        shard = Shard(memory)
         for b in batches:
-            held.append(b)
-            n += len(b)
-            if n >= CHUNK:
-                chunk = pd.concat(held, ignore_index=True)
-                a = chunk["a"].to_numpy()
-                cut_at = int(np.searchsorted(a, a[-1]))  # the last anchor may go on
-                if cut_at:
-                    yield spans(chunk.iloc[:cut_at])
-                held, n = [chunk.iloc[cut_at:]], len(chunk) - cut_at
-        if n:
-            yield spans(pd.concat(held, ignore_index=True))
+            if len(b):
+                shard.add(b["doc"].to_numpy(), b["start"].to_numpy(), b["more"].to_numpy(dtype=np.int64), list(b["bytes"]))
+        yield from shard.spans()
 
-    return runs.repartition("a").sortWithinPartitions("a").mapInPandas(run, _OUT)
+    return runs.repartition("a").mapInPandas(run, _OUT)
 
 
-def repeats(docs: DataFrame) -> DataFrame:
+def repeats(docs: DataFrame, memory: int = MEMORY) -> DataFrame:
     """doc, spans (start and end of runs to remove, in order) for docs (doc long, without null or repetition; text)."""
     found = materialize(_resolve(_anchor_rows(docs), True))
     partial = found.filter("kind = 2").select("a", "doc", "start", "more")
     hot = partial.groupBy("a").count().filter(F.col("count") > HOT).select("a")
+    spans = found.filter("kind = 1")
     if hot.limit(1).count():
-        often = _resolve(_string_rows(_runs(partial.join(hot, "a", "left_semi"), docs)), False)
-        rest = _compared(_runs(partial.join(hot, "a", "left_anti"), docs)).unionByName(often)
-    else:
-        rest = _compared(_runs(partial, docs))
-    spans = found.unionByName(materialize(rest)).filter("kind = 1")
+        finer = materialize(_resolve(_pieces(_runs(partial.join(hot, "a", "left_semi"), docs)), True))
+        partial = partial.join(hot, "a", "left_anti").unionByName(finer.filter("kind = 2").select("a", "doc", "start", "more"))
+        spans = spans.unionByName(finer.filter("kind = 1"))
+    spans = spans.unionByName(materialize(_sorted(_runs(partial, docs), memory)))
     return spans.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("start", (F.col("start") + F.col("more")).alias("end")))).alias("spans"))
 
 
@@ -342,54 +398,54 @@ def cut(data: bytes, spans: list) -> tuple[bytes, list[tuple[int, int]]]:
     return b"".join(kept), [(a, b) for a, b in runs]
 
 
-def _ordered(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """(docs with __doc, the documents' order as a number without null or repetition; the same as doc and text)."""
+def _ordered(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """row (the columns of docs), text, and doc, the documents' order as a number without null or repetition."""
     kind = docs.schema[key].dataType.simpleString()
     plain = kind in ("bigint", "int", "smallint", "tinyint") and not docs.groupBy(F.col(f"`{key}`").alias("k")).count().filter("k is null or count > 1").limit(1).count()
+    rows = docs.select(named(docs.columns).alias("row"), F.col(f"`{text}`").alias("text"), F.col(f"`{key}`").alias("key"))
     if plain:
-        rows = docs.withColumn("__doc", F.col(f"`{key}`").cast("long"))
-    else:
-        rows = materialize(docs.orderBy(F.col(f"`{key}`").asc_nulls_first(), F.xxhash64(f"`{text}`"), f"`{text}`").withColumn("__doc", F.monotonically_increasing_id()))
-    return rows, rows.select(F.col("__doc").alias("doc"), F.col(f"`{text}`").alias("text"))
+        return rows.select("row", "text", F.col("key").cast("long").alias("doc"))
+    return materialize(rows.orderBy(F.col("key").asc_nulls_first(), F.xxhash64("text"), "text").select("row", "text", F.monotonically_increasing_id().alias("doc")))
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with spans: the byte runs to remove from the text, or null."""
+def _found(docs: DataFrame, key: str, text: str, memory: int) -> DataFrame:
+    """row, text, spans for each row of docs."""
     small_batches(docs.sparkSession)
-    rows, plain = _ordered(docs, key, text)
-    found = repeats(plain).select(F.col("doc").alias("__doc"), F.col("spans").alias("__spans"))
-    return rows.join(found, "__doc", "left").drop("__doc").withColumnRenamed("__spans", "spans")
+    rows = _ordered(docs, key, text)
+    return rows.join(repeats(rows.select("doc", "text"), memory), "doc", "left").select("row", "text", "spans")
 
 
-def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", n_chars: str = "n_chars") -> DataFrame:
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", memory: int = MEMORY) -> DataFrame:
+    """docs with spans: the byte runs to remove from the text, or null."""
+    return _found(docs, key, text, memory).select(*(F.col(f"row.`{c}`") for c in docs.columns if c != "spans"), "spans")
+
+
+def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", n_chars: str = "n_chars", memory: int = MEMORY) -> DataFrame:
     """docs with the repeats gone from their texts (bytes that are left of a cut character go too); same columns."""
 
     @F.pandas_udf("string")
     def rest(t: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([x if s is None or not len(s) else cut(utf8(x), list(s))[0].decode("utf-8", "ignore") for x, s in zip(t, spans, strict=True)], dtype=object)
 
-    out = remove_repeats(docs, key, text)
-    fresh = F.when(F.col("spans").isNotNull(), rest(F.col(f"`{text}`"), F.col("spans"))).otherwise(F.col(f"`{text}`"))
-    made = out.withColumn("__text", fresh)
-    cols = {text: F.col("__text")}
+    made = _found(docs, key, text, memory).withColumn("text", F.when(F.col("spans").isNotNull(), rest("text", "spans")).otherwise(F.col("text")))
+    cols = {text: F.col("text")}
     if n_chars in docs.columns:
-        cols[n_chars] = F.when(F.col("spans").isNotNull(), F.length("__text")).otherwise(F.col(f"`{n_chars}`")).cast(docs.schema[n_chars].dataType)
-    return made.select(*(cols[c].alias(c) if c in cols else F.col(f"`{c}`") for c in docs.columns))
+        cols[n_chars] = F.when(F.col("spans").isNotNull(), F.length("text")).otherwise(F.col(f"row.`{n_chars}`")).cast(docs.schema[n_chars].dataType)
+    return made.select(*(cols.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
 
 
 def op8_repeats(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
 
-    def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for doc, t, spans in zip(b["doc_id"], b["text"], b["spans"], strict=True):
-                data = utf8(t)
-                kept, runs = cut(data, list(spans) if spans is not None else [])
-                out.append((doc, len(data), len(data) - len(kept), len(runs), hashlib.sha256(kept).hexdigest()))
-            yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+    def digest(texts: list, spans: list) -> list:
+        out = []
+        for t, s in zip(texts, spans, strict=True):
+            data = utf8(t)
+            kept, runs = cut(data, s or [])
+            out.append((len(data), len(data) - len(kept), len(runs), hashlib.sha256(kept).hexdigest()))
+        return list(zip(*out, strict=True)) if out else [[], [], [], []]
 
-    return remove_repeats(docs).mapInPandas(digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return with_made(remove_repeats(docs), ["doc_id"], [F.col("text"), F.col("spans")], "n_bytes long, n_removed long, n_spans long, kept_sha256 string", lambda: digest)
 
 
 QUERIES = {"op8_repeats": op8_repeats}

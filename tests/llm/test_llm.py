@@ -101,12 +101,15 @@ def brute_repeats(rows):
     return out
 
 
-@pytest.mark.parametrize("hot", [20_000, 1])
-def test_repeats_against_brute_force(spark, corpus, hot, monkeypatch):
+@pytest.mark.parametrize(("hot", "memory"), [(20_000, 1 << 27), (1, 3000)])
+def test_repeats_against_brute_force(spark, corpus, hot, memory, monkeypatch):
     monkeypatch.setattr(repeats, "HOT", hot)
-    rows = corpus + [(400, "é" * 300), (401, "ab" * 400), (402, "x" + "ab" * 60)]
+    rng = random.Random(12)
+    mostly = prose(rng, 9)[:60]  # a run under 100 bytes in many contexts: an anchor with many different stretches
+    rows = corpus + [(400, "é" * 300), (401, "ab" * 400), (402, "x" + "ab" * 60), (403, prose(rng, 30_000))]
+    rows += [(500 + i, prose(rng, rng.randint(2, 30)) + mostly + prose(rng, 30)) for i in range(60)] + [(600 + i, rows[3][1] + mostly + rows[5][1]) for i in range(9)]
     want = brute_repeats(rows)
-    for r in repeats.remove_repeats(docs(spark, rows)).collect():
+    for r in repeats.remove_repeats(docs(spark, rows), memory=memory).collect():
         assert repeats.cut((r["text"] or "").encode(), r["spans"] or [])[0] == want[r["doc_id"]], r["doc_id"]
 
 
@@ -115,7 +118,18 @@ def test_repeats_edges(spark):
     rows = [*EDGES, (7, long), (7, long), (None, long)]
     out = repeats.without_repeats(docs(spark, rows, True)).collect()
     assert len(out) == len(rows) and sum(r["text"] == long for r in out) == 1
-    assert repeats.remove_repeats(docs(spark, [])).count() == 0
+    assert repeats.remove_repeats(docs(spark, [])).count() == 0 and repeats.without_repeats(docs(spark, [])).count() == 0
+
+
+def test_repeats_with_clashing_columns_and_large_ids(spark):
+    long, big = prose(random.Random(1), 60), 9007199254740993
+    clash = spark.createDataFrame([(i, t, 5, "own", "other", 1, 2) for i, t in [(big, long), (None, long), (3, "short")]], "doc_id long, text string, spans int, __doc string, __text string, doc int, row int")
+    out = repeats.without_repeats(clash)
+    assert out.columns == clash.columns
+    got = {r["doc_id"]: r for r in out.collect()}
+    assert set(got) == {big, None, 3} and got[None]["text"] == long and got[big]["text"] == ""
+    assert all((r["spans"], r["__doc"], r["__text"], r["doc"], r["row"]) == (5, "own", "other", 1, 2) for r in got.values())
+    assert {r["doc_id"]: len(r["spans"] or []) for r in repeats.remove_repeats(clash).collect()} == {big: 1, None: 0, 3: 0}
 
 
 def test_decontamination_against_brute_force(spark):
