@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .plans import neighbours
+from .plans.store import stored
 
 K, BAND = 8, 0.3
 
@@ -48,8 +49,7 @@ def cust(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("fid"), (F.col("c_custkey") % 101).cast("double").alias("x"), (F.col("c_custkey") % 103).cast("double").alias("y"), F.col("c_acctbal").cast("double").alias("v"), F.greatest(F.col("c_acctbal").cast("double"), F.lit(0.0)).alias("w"))
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    return df.persist()
+_kept = stored
 
 
 _NUM = re.compile(r"(?<![\w.])(\d+(?:\.\d*)?(?:[eE][-+]?\d+)?)D\b")

@@ -1,16 +1,19 @@
-"""Neighbourhood graphs as edge DataFrames (src, dst, d2 or w), from grid joins.
+"""Neighbourhood graphs as edge DataFrames (src, dst, d2 or w).
 
-Points fall into square cells, so a distance join is an equi-join of cells with their eight neighbours, and
-candidates grow with local density, not with the number of points squared.
+For a distance join points fall into square cells, so it is an equi-join of cells with their eight neighbours, and
+candidates grow with the pairs that are found. Nearest neighbours come from the leaves of a tree.
 """
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .store import stored
+from .tree import Tree
+
 
 def points(df: DataFrame) -> DataFrame:
     """fid, x, y of the rows that have finite coordinates."""
@@ -39,40 +42,87 @@ def within(df: DataFrame, distance: float) -> DataFrame:
     return _pairs(pts, pts, distance).filter(F.col("d2") <= float(distance) ** 2)
 
 
-def nearest(df: DataFrame, k: int) -> DataFrame:
+#: Places in a leaf of the tree, and of the sample that shapes it: at most SAMPLE places come to the driver.
+LEAF, SAMPLE = 2_048, 1_000_000
+
+
+def _best(src: tuple[np.ndarray, ...], dst: tuple[np.ndarray, ...], k: int) -> list[list[dict]]:
+    """For each place (x, y) in src the k nearest of dst (x, y, id), ties by id."""
+    out: list[list[dict]] = []
+    x, y, ids = dst
+    for a in range(0, len(src[0]), max(1, 4_000_000 // max(1, len(x)))):
+        z = a + max(1, 4_000_000 // max(1, len(x)))
+        d2 = (src[0][a:z, None] - x) * (src[0][a:z, None] - x) + (src[1][a:z, None] - y) * (src[1][a:z, None] - y)
+        if len(x) > k:
+            row, col = np.nonzero(d2 <= np.partition(d2, k - 1, axis=1)[:, k - 1 : k])
+        else:
+            row, col = (v.reshape(-1) for v in np.indices(d2.shape))
+        d = d2[row, col]
+        order = np.lexsort((ids[col], d, row))
+        row, col, d = row[order], col[order], d[order]
+        first = np.searchsorted(row, np.arange(len(d2)))
+        keep = np.arange(len(row)) - first[row] < k
+        row, col, d = row[keep], col[keep], d[keep]
+        cuts = np.searchsorted(row, np.arange(len(d2) + 1)).tolist()
+        flat = [{"d2": p, "dst": q} for p, q in zip(d.tolist(), ids[col].tolist(), strict=True)]
+        out += [flat[i:j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+    return out
+
+
+def nearest(df: DataFrame, k: int, leaf: int = LEAF) -> DataFrame:
     """src, dst, d2, r for the k nearest other points of each point; ties by id.
 
-    The cell size starts where nine cells hold about 4k points. A point is done once its k-th distance is at most
-    the cell size, as its cells then hold all points so near; the others go on with cells of twice the size.
+    Points at one place count as one, known by its k + 1 smallest ids, so a place that many share costs no more than
+    another. A k-d tree over a sample deals places to leaves of about `leaf` places. Each leaf finds its own places'
+    nearest; a place whose circle through the k-th leaves its leaf is compared with the leaves that it reaches, too.
     """
-    from pyspark.sql import Window
-
-    pts = points(df).persist()
-    b = pts.agg(F.count("*").alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")).first()
-    n = b["n"]
-    if n < 2:
-        return pts.select(F.col("fid").alias("src"), F.col("fid").alias("dst"), F.lit(0.0).alias("d2"), F.lit(1).alias("r")).limit(0)
-    k = min(k, n - 1)
-    span = max(b["x1"] - b["x0"], b["y1"] - b["y0"]) or 1.0
-    size = max(span * math.sqrt(4 * k / (9 * n)), span * 1e-9)
-    by = Window.partitionBy("src").orderBy("d2", "dst")
-    todo, parts = pts, []
-    while True:
-        last = size >= span
-        top = _pairs(todo, pts, size).withColumn("r", F.row_number().over(by)).filter(F.col("r") <= k)
-        if last:
-            parts.append(top)
-            break
-        done = top.filter((F.col("r") == k) & (F.col("d2") <= size * size)).select("src").persist()
-        parts.append(top.join(done, "src", "left_semi"))
-        todo = todo.join(done.withColumnRenamed("src", "fid"), "fid", "left_anti").persist()
-        if not todo.limit(1).count():
-            break
-        size *= 2
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    spark = df.sparkSession
+    pts = points(df).withColumn("fid", F.col("fid").cast("long"))
+    by = Window.partitionBy("x", "y").orderBy("fid")
+    few = pts.withColumn("q", F.row_number().over(by)).filter(F.col("q") <= k + 1)
+    places = stored(few.groupBy("x", "y").agg(F.sort_array(F.collect_list("fid")).alias("ids")))
+    n, least = places.agg(F.count("*"), F.sum(F.size("ids"))).first()
+    if not n or least < 2:
+        return spark.createDataFrame([], "src long, dst long, d2 double, r int")
+    share = min(1.0, SAMPLE / n)
+    picked = places.select("x", "y")
+    if share < 1:
+        picked = picked.filter(F.pmod(F.xxhash64("x", "y"), F.lit(1 << 30)) < int((1 << 30) * share))
+    got = picked.toArrow()  # at most about SAMPLE places
+    tree = Tree(got["x"].to_numpy(), got["y"].to_numpy(), max(8, int(max(leaf, 4 * k) * share)))
+    sent, near = spark.sparkContext.broadcast(tree), "array<struct<d2:double,dst:long>>"
+
+    @F.pandas_udf("long")
+    def leaf_of(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series(sent.value.leaf_of(x.to_numpy(), y.to_numpy()))
+
+    def flat(part: pd.DataFrame) -> tuple[np.ndarray, ...]:
+        size = part["ids"].map(len).to_numpy()
+        return np.repeat(part["x"].to_numpy(), size), np.repeat(part["y"].to_numpy(), size), np.concatenate([np.asarray(v) for v in part["ids"]])
+
+    def inside(part: pd.DataFrame) -> pd.DataFrame:
+        best = _best((part["x"].to_numpy(), part["y"].to_numpy()), flat(part), k + 1)
+        own, t = int(part["leaf"].iat[0]), sent.value
+        reach = [b[-1]["d2"] if len(b) == k + 1 else float("inf") for b in best]
+        others = [t.reached(x, y, r, own) if t.leaves > 1 else [] for x, y, r in zip(part["x"], part["y"], reach, strict=True)]
+        return pd.DataFrame({"x": part["x"], "y": part["y"], "near": best, "others": others})
+
+    def outside(asked: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:
+        if not len(asked) or not len(part):
+            return pd.DataFrame({"x": [], "y": [], "near": []})
+        return pd.DataFrame({"x": asked["x"], "y": asked["y"], "near": _best((asked["x"].to_numpy(), asked["y"].to_numpy()), flat(part), k + 1)})
+
+    dealt = places.withColumn("leaf", leaf_of("x", "y"))
+    found = dealt.groupBy("leaf").applyInPandas(inside, f"x double, y double, near {near}, others array<long>")
+    best = found.select("x", "y", "near")
+    if tree.leaves > 1:
+        found = stored(found)
+        asked = found.select("x", "y", F.explode("others").alias("leaf"))
+        more = asked.groupBy("leaf").cogroup(dealt.groupBy("leaf")).applyInPandas(outside, f"x double, y double, near {near}")
+        best = found.select("x", "y", "near").unionByName(more).groupBy("x", "y").agg(F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, k + 1).alias("near"))
+    others = F.slice(F.filter("near", lambda v: v["dst"] != F.col("fid")), 1, k)
+    rows = pts.join(best, ["x", "y"]).select(F.col("fid").alias("src"), F.posexplode(others).alias("r", "v"))
+    return rows.select("src", F.col("v.dst").alias("dst"), F.col("v.d2").alias("d2"), (F.col("r") + 1).alias("r"))
 
 
 def lattice(df: DataFrame, queen: bool = True) -> DataFrame:

@@ -2,17 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
 
+from pyspark.sql import DataFrame, SparkSession
 
-def stored(df: DataFrame) -> DataFrame:
-    """df.checkpoint(), in spark.checkpoint.dir; a local folder is set only where that is unset, as in tests."""
-    sc = df.sparkSession.sparkContext
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir. Where that is unset, as in tests, one is made, in local mode only."""
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if named:
+        return named
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        named = sc.getConf().get("spark.checkpoint.dir")
-        if not named:
-            import tempfile
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        import tempfile
+
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="isopleth-"))
+    return sc._jsc.sc().getCheckpointDir().get()
 
-            named = tempfile.mkdtemp(prefix="isopleth-")
-        sc.setCheckpointDir(named)
-    return df.checkpoint()
+
+def stored(df: DataFrame) -> DataFrame:
+    """df written as Parquet in the shared folder and read again: it is computed once, and lost executors cost nothing."""
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

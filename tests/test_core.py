@@ -28,18 +28,26 @@ def test_moran_of_a_chain(spark):
     assert r["p_value"] == pytest.approx(0.10076469098579569, abs=1e-7)
 
 
-def test_nearest_against_all_pairs(spark):
+@pytest.mark.parametrize("leaf", [2048, 16])
+def test_nearest_against_all_pairs(spark, leaf):
     import random
 
     rng = random.Random(1)
-    pts = [(i, rng.random() ** 3, rng.random()) for i in range(120)] + [(200 + i, 0.5, 0.5) for i in range(5)]
+    pts = [(i, rng.random() ** 3, rng.random()) for i in range(120)] + [(200 + i, 0.5, 0.5) for i in range(30)] + [(300 + i, 7 + rng.random() * 1e-4, 7.0) for i in range(40)] + [(400, 1e6, -1e6)]
     df = spark.createDataFrame(pts, "fid long, x double, y double")
-    got = {(r["src"], r["r"]): r["dst"] for r in neighbours.nearest(df, 4).collect()}
+    got = {(r["src"], r["r"]): r["dst"] for r in neighbours.nearest(df, 4, leaf).collect()}
+    assert len(got) == 4 * len(pts)
     for f, x, y in pts:
         want = sorted(((a - x) * (a - x) + (b - y) * (b - y), g) for g, a, b in pts if g != f)[:4]
         assert [got[f, i + 1] for i in range(4)] == [g for _, g in want]
 
 
+def test_nearest_of_few(spark):
+    few = spark.createDataFrame([(5, 0.0, 0.0), (9, 3.0, 4.0), (7, None, 1.0), (8, float("nan"), 1.0)], "fid long, x double, y double")
+    assert sorted(map(tuple, neighbours.nearest(few, 4).collect())) == [(5, 9, 25.0, 1), (9, 5, 25.0, 1)]
+    assert neighbours.nearest(few.filter("fid = 5"), 4).count() == 0 and neighbours.nearest(few.limit(0), 4).count() == 0
+
+
 def test_within(spark):
     df = spark.createDataFrame([(0, 0.0, 0.0), (1, 1.0, 0.0), (2, 2.0, 0.0), (3, 5.0, 0.0), (4, None, 0.0)], "fid long, x double, y double")
     assert {(r["src"], r["dst"]) for r in neighbours.within(df, 1.0).collect()} == {(0, 1), (1, 0), (1, 2), (2, 1)}
