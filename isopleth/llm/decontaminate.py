@@ -14,8 +14,8 @@ candidate is then verified: among the windows of the item's own size around its
 similarity of shingle multisets must be `similarity` or more. A window that passes the text's start or end is clipped:
 it holds the shingles that exist there, so a copy that a text cuts short counts by what it has of the item.
 
-Items are taken `item_block` at a time, each block with one pass over the documents, so what is sent to the
-executors stays bounded.
+Items are taken `item_block` at a time, each block with one pass over the documents, whose rows are written before the
+next block is read, so what the driver holds and what is sent to the executors stays bounded.
 
 Defined cases: null or empty texts and items match nothing; an item of fewer than five words is one shingle of all
 its words and matches those words in order; a document shorter than an item has clipped windows only, and
@@ -30,11 +30,12 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from ._base import _rolled, batch_words, small_batches, table, utf8
+from ._base import _rolled, batch_words, materialize, named, small_batches, table, utf8
 
 K = 5
 BLOCKS, BLOCK_BITS, PER_BLOCK = 4, 16, 2
@@ -209,33 +210,48 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: st
     small_batches(spark)
     src = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")).filter(F.col("text").isNotNull())
     rows = benchmark.select(F.col(f"`{item}`").alias("item"), F.col(f"`{item_text}`").alias("text")).filter(F.col("text").isNotNull())
+    item_type = to_arrow_type(rows.schema["item"].dataType)
     key_kind, item_kind = src.schema["key"].dataType.simpleString(), rows.schema["item"].dataType.simpleString()
     schema = f"`{key}` {key_kind}, `{item}` {item_kind}, similarity double, word_start long, word_end long"
 
-    def one_pass(block: list[tuple]) -> DataFrame:
+    def one_pass(block: list[tuple]) -> tuple:
         sent = spark.sparkContext.broadcast(block)  # at most item_block items
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            items = Items(sent.value)
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            items = Items([(i, t) for i, (_, t) in enumerate(sent.value)])
+            ids = pa.array([i for i, _ in sent.value], type=item_type)
             for b in batches:
-                keys = b["key"].array
-                got = items.search([utf8(t) for t in b["text"]], similarity)
-                yield pd.DataFrame({key: keys.take([t for t, *_ in got]), item: [items.ids[i] for _, i, *_ in got], "similarity": [x[2] for x in got], "word_start": [x[3] for x in got], "word_end": [x[4] for x in got]})
+                got = items.search([utf8(t) for t in b.column(1).to_pylist()], similarity)
+                cols = [b.column(0).take(pa.array([t for t, *_ in got], type=pa.int64())), ids.take(pa.array([items.ids[i] for _, i, *_ in got], type=pa.int64()))]
+                cols += [pa.array([x[j] for x in got], type=k) for j, k in ((2, pa.float64()), (3, pa.int64()), (4, pa.int64()))]
+                yield pa.RecordBatch.from_arrays(cols, names=[key, item, "similarity", "word_start", "word_end"])
 
-        return src.mapInPandas(run, schema)
+        return src.mapInArrow(run, schema), sent
 
-    out, block = spark.createDataFrame([], schema), []
+    def whole(frame: DataFrame, sent) -> DataFrame:
+        """The rows of one block of many, written, so that its broadcast can go."""
+        out = materialize(frame)
+        sent.destroy()
+        return out
+
+    found, block = [], []
     for r in rows.toLocalIterator():  # the stated set of items, a block at a time
-        block.append((r["item"], r["text"]))
         if len(block) == item_block:
-            out, block = out.unionByName(one_pass(block)), []
-    return out.unionByName(one_pass(block)) if block else out
+            found, block = [*found, whole(*one_pass(block))], []
+        block.append((r["item"], r["text"]))
+    if block:
+        found.append(whole(*one_pass(block)) if found else one_pass(block)[0])
+    out = spark.createDataFrame([], schema)
+    for frame in found:
+        out = out.unionByName(frame)
+    return out
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **more) -> DataFrame:
     """The documents in which no item has a window; rows without an id stay."""
-    hit = matches(docs, benchmark, key, text, **more).select(F.col(key).alias("__hit")).distinct()
-    return docs.join(hit, F.col(f"`{key}`") == F.col("__hit"), "left_anti")
+    hit = matches(docs, benchmark, key, text, **more).select(F.col(f"`{key}`").alias("hit")).distinct()
+    rows = docs.select(named(docs.columns).alias("row"), F.col(f"`{key}`").alias("key"))
+    return rows.join(hit, F.col("key") == F.col("hit"), "left_anti").select("row.*")
 
 
 def op2_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -5,13 +5,14 @@ The model holds, for each language, the log frequency of its words and of the ch
 4-grams score it if any of them is known, else its 3-grams, 2-grams, single letters. Scores add up over a text.
 
 Fitting reads a sample of labelled rows, about `max_fit_rows` of them, chosen by a hash of the id among all rows
-that may be learned from (a classifier may be fitted on a bounded sample); within it every text counts whole. The
-`max_words` most frequent words of each language go into the model, so it stays small enough to be sent to
-every executor. Prediction reads every text whole.
+that may be learned from, and about `max_fit_bytes` of text (a classifier may be fitted on a bounded sample); within
+it every text counts whole, whatever its size, and every word goes into the model. So the sample's bytes bound what is
+sent to every executor. Prediction reads every text whole.
 
 Defined cases: a null text or one without a letter is `und` with score 0; rows without a language aren't learned
 from; ties go to the language with more text in the sample, then to the smaller name; without any row to learn
-from every text is `und`; repeated rows are predicted alike.
+from every text is `und`; repeated rows are predicted alike; ids are carried as they are, null ones too; a column in
+`keep` that has the name of a result is replaced.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._base import crc_mod, gram_hashes, marked, small_batches, table
+from ._base import crc_mod, gram_hashes, marked, small_batches, table, with_made
 
 _WORD = re.compile(r"[^\W\d_]+")
 MAX_GRAM = 4
@@ -119,12 +120,13 @@ class Scorer:
         return out
 
 
-def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", max_fit_rows: int = 20_000, max_words: int = 30_000) -> Model:
+def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", max_fit_rows: int = 20_000, max_fit_bytes: int = 64 << 20) -> Model:
     """A model from the rows of docs that have a language and a text."""
     rows = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").cast("string").alias("lang")).filter(F.col("lang").isNotNull())
-    n = rows.select("key", "lang").count()
-    if n > max_fit_rows:
-        rows = rows.filter(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < int((1 << 30) * max_fit_rows / n))
+    n, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    share = min(1.0, max_fit_rows / max(1, n), max_fit_bytes / max(1, size))
+    if share < 1:
+        rows = rows.filter(F.pmod(F.xxhash64("key", "text"), F.lit(1 << 30)) < int((1 << 30) * share))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own: dict[str, Counter] = {}
@@ -144,12 +146,10 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
         return pd.DataFrame([(x, w, k) for x, c in own.items() for w, k in c.items()], columns=["lang", "word", "n"])
 
     counts = rows.filter(F.col("text").isNotNull()).select("lang", "text").mapInPandas(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    from pyspark.sql import Window
-
-    top = counts.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).filter(F.col("r") <= max_words)
     found: dict[str, Counter] = {}
-    for r in top.select("lang", "word", "n").collect():  # at most max_words for each language
-        found.setdefault(r["lang"], Counter())[r["word"]] = r["n"]
+    got = counts.toArrow()  # at most the words of the sample
+    for x, w, k in zip(got["lang"].to_pylist(), got["word"].to_pylist(), got["n"].to_pylist(), strict=True):
+        found.setdefault(x, Counter())[w] = k
     return Model(found)
 
 
@@ -157,18 +157,17 @@ def predict(docs: DataFrame, model: Model, text: str = "text", out: tuple[str, s
     """The columns in `keep` with the predicted language and its share of the likelihood."""
     small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    src = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text}`").alias("__text"))
-    schema = ", ".join([f"`{c}` {src.schema[c].dataType.simpleString()}" for c in keep] + [f"`{out[0]}` string, `{out[1]}` double"])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start():
         scorer = Scorer(sent.value)
-        for b in batches:
-            got = scorer.predict(list(b.pop("__text")))
-            b[out[0]] = [x for x, _ in got]
-            b[out[1]] = [s for _, s in got]
-            yield b
 
-    return src.mapInPandas(run, schema)
+        def work(texts: list) -> list:
+            got = scorer.predict(texts)
+            return [[x for x, _ in got], [v for _, v in got]]
+
+        return work
+
+    return with_made(docs, keep, [F.col(f"`{text}`")], f"`{out[0]}` string, `{out[1]}` double", start)
 
 
 def held_out(key: str = "doc_id", n: int = 5, fold: int = 0) -> Column:

@@ -27,10 +27,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._base import materialize, mix64, shingle_sets, small_batches, table, utf8
+from ._base import materialize, mix64, named, shingle_sets, small_batches, table, utf8
 from ._graph import components
 
 
@@ -106,15 +107,17 @@ def signatures(docs: DataFrame, key: str, text: str, spec: Spec) -> DataFrame:
     src = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
     kind = src.schema["key"].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x, counts = shingle_sets([utf8(v) for v in b["text"]], spec.k)
+            x, counts = shingle_sets([utf8(v) for v in b.column(1).to_pylist()], spec.k)
             sk = sketches(x, counts, spec.t)
             bands, low = _band_hashes(sk, spec), (sk >> np.uint64(20)).astype("<u2")
             h1, h2 = _set_hashes(x, counts)
-            yield pd.DataFrame({"key": b["key"], "n": counts, "h1": h1, "h2": h2, "bands": list(bands), "low": [r.tobytes() for r in low]})
+            ends = pa.array(np.arange(len(counts) + 1, dtype=np.int32) * spec.bands)
+            cols = [b.column(0), pa.array(counts, pa.int64()), pa.array(h1), pa.array(h2), pa.ListArray.from_arrays(ends, pa.array(bands.reshape(-1))), pa.array([r.tobytes() for r in low], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["key", "n", "h1", "h2", "bands", "low"])
 
-    return src.mapInPandas(run, f"key {kind}, n long, h1 long, h2 long, bands array<long>, low binary")
+    return src.mapInArrow(run, f"key {kind}, n long, h1 long, h2 long, bands array<long>, low binary")
 
 
 def _full_sets(docs: DataFrame, keys: DataFrame, key: str, text: str, spec: Spec) -> DataFrame:
@@ -234,8 +237,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sp
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", spec: Spec = Spec()) -> DataFrame:
     """The rows of docs that stay: one id of each group; rows without an id stay."""
-    gone = near_duplicates(docs, key, text, spec).filter(~F.col("kept")).select(F.col(key).alias("__gone")).distinct()
-    return docs.join(gone, docs[key] == F.col("__gone"), "left_anti")
+    gone = near_duplicates(docs, key, text, spec).filter(~F.col("kept")).select(F.col(f"`{key}`").alias("gone")).distinct()
+    rows = docs.select(named(docs.columns).alias("row"), F.col(f"`{key}`").alias("key"))
+    return rows.join(gone, F.col("key") == F.col("gone"), "left_anti").select("row.*")
 
 
 #: The registered query links 3-word shingles at 85 percent.

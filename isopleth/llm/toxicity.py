@@ -10,20 +10,20 @@ no word or n-gram is left out. Scoring reads every text whole. As the
 softmax is linear, a word adds one number to its text's mean, so a worker computes it once for each word.
 
 Defined cases: a null text or one without a word scores as the bias alone; rows without a label aren't learned
-from; a document with several label rows is learned from once for each; with no labelled row of both classes every
-score is the share of the label (0 without rows); repeated rows score alike.
+from; a document with several label rows is learned from once for each different label; with no labelled row of both classes every
+score is the share of the label (0 without rows); repeated rows score alike; ids are carried as they are, null ones
+too; a column `score` in `keep` is replaced.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._base import crc_mod, gram_hashes, marked, small_batches, table, word_hash
+from ._base import crc_mod, gram_hashes, marked, small_batches, table, with_made, word_hash
 
 _EDGES = ".,;:!?\"'()[]{}<>|#*$%&-_…«»“”‘’"
 
@@ -147,10 +147,12 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     def sample(of: DataFrame, part: float) -> DataFrame:
         return of.filter(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < int((1 << 30) * part)) if part < 1 else of
 
+    # a document with several marks counts once for each label; a key's share of the hash space decides for all its marks
+    marks = marks.groupBy("key", "label").agg(F.count("*").alias("times"))
     n = marks.count()
     part = min(1.0, max_fit_rows / max(1, n))
     size = rows.join(F.broadcast(sample(marks, part)), "key").agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    # the marks are about max_fit_rows of two numbers each by now
+    # the marks are about max_fit_rows of three numbers each by now
     got = rows.join(F.broadcast(sample(marks, part * min(1.0, max_fit_bytes / max(1, size)))), "key").select("key", "text", "label").toArrow().sort_by([("key", "ascending"), ("label", "ascending")])
     return train((t.as_py() for t in got["text"]), [1 if x else 0 for x in got["label"].to_pylist()])
 
@@ -159,16 +161,12 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ..
     """The columns in `keep` with score, the probability of label 1."""
     small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    src = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text}`").alias("__text"))
-    schema = ", ".join([f"`{c}` {src.schema[c].dataType.simpleString()}" for c in keep] + ["score double"])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start():
         scorer = Scorer(sent.value)
-        for b in batches:
-            b["score"] = scorer(list(b.pop("__text")))
-            yield b
+        return lambda texts: [scorer(texts)]
 
-    return src.mapInPandas(run, schema)
+    return with_made(docs, keep, [F.col(f"`{text}`")], "score double", start)
 
 
 THRESHOLD = 0.3

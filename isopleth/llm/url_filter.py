@@ -13,19 +13,20 @@ that a block glob matches is blocked, unless an allow glob matches it too; other
 
 Defined cases: a null URL, or one without `://`, has empty host and path, which only globs of stars match; bytes
 outside ASCII are matched as UTF-8; URLs of any length are read whole; repeated rows are judged alike; an empty
-table gives no rows; columns besides the id and url are not read.
+table gives no rows; ids are carried as they are, null ones too; columns besides the id and url are not read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._base import small_batches, table, with_made
+
 _SEP = 0
 _UPPER = {c: c + 32 for c in range(65, 91)}
 
@@ -69,7 +70,6 @@ class Automaton:
 
     def __init__(self, patterns: Iterable[tuple[list[int | str], list[int | str]]]):
         patterns = list(patterns)
-        accepts: list[list[tuple[int, np.ndarray]]] = []
         loops: list[tuple[int, bool]] = []  # bit, whether in the path
         starts, finals, bit = [], [], 0
         steps: list[tuple[int, int | str, bool]] = []
@@ -84,7 +84,6 @@ class Automaton:
                         steps.append((bit, s, in_path))
             finals.append(bit)
             bit += 1
-        del accepts
         self.words = max(1, -(-bit // 64))
         self.B = np.zeros((256, self.words), dtype=np.uint64)
         self.L = np.zeros((256, self.words), dtype=np.uint64)
@@ -142,37 +141,32 @@ class UrlFilter:
             patterns.append((_symbols(host.translate(_UPPER), False), _symbols(slash + path, False)))
         self.automaton = Automaton(patterns)
 
-    def judge(self, urls: list[str | None]) -> pd.DataFrame:
+    def judge(self, urls: list[str | None]) -> dict[str, list]:
+        """host, path, rule, verdict and globs (the plain ones that match), a list each."""
         parts = [canonical(u) for u in urls]
         hit = self.automaton.matches([h.encode("utf-8", "replace").replace(b"\0", b"\1") + b"\0" + p.encode("utf-8", "replace").replace(b"\0", b"\1") for h, p in parts])
         nr, nb = len(self.rules), len(self.block)
         plain = hit[:, 2 * nr :]
         blocked = plain[:, :nb].any(axis=1) & ~plain[:, nb:].any(axis=1)
         fits = hit[:, : 2 * nr].reshape(len(urls), nr, 2).any(axis=2)
-        first = np.where(fits.any(axis=1), fits.argmax(axis=1) if nr else 0, -1) if nr else np.full(len(urls), -1)
-        return pd.DataFrame(
-            {
-                "host": [h for h, _ in parts],
-                "path": [p for _, p in parts],
-                "rule": pd.Series([self.rules[i].name if i >= 0 else None for i in first], dtype=object),
-                "verdict": [self.rules[i].verdict if i >= 0 else ("block" if b else "allow") for i, b in zip(first, blocked, strict=True)],
-                "globs": [[g for g, x in zip(self.block + self.allow, row, strict=True) if x] for row in plain],
-            }
-        )
+        first = np.where(fits.any(axis=1), fits.argmax(axis=1), -1) if nr else np.full(len(urls), -1)
+        names = self.block + self.allow
+        globs: list[list[str]] = [[] for _ in urls]
+        for i, j in zip(*(v.tolist() for v in np.nonzero(plain)), strict=True):
+            globs[i].append(names[j])
+        return {
+            "host": [h for h, _ in parts],
+            "path": [p for _, p in parts],
+            "rule": [self.rules[i].name if i >= 0 else None for i in first],
+            "verdict": [self.rules[i].verdict if i >= 0 else ("block" if b else "allow") for i, b in zip(first, blocked, strict=True)],
+            "globs": globs,
+        }
 
 
 def filter_urls(pages: DataFrame, rules: UrlFilter, key: str = "page_id", url: str = "url") -> DataFrame:
     """key, host, path, rule, verdict, and the plain globs that match."""
-    src = pages.select(F.col(f"`{key}`").alias("key"), F.col(f"`{url}`").cast("string").alias("url"))
-    kind = src.schema["key"].dataType.simpleString()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = rules.judge([None if u is None or u != u else u for u in b["url"]])
-            out.insert(0, "key", b["key"].array)
-            yield out
-
-    return src.mapInPandas(run, f"key {kind}, host string, path string, rule string, verdict string, globs array<string>").withColumnRenamed("key", key)
+    small_batches(pages.sparkSession, 4096)
+    return with_made(pages, [key], [F.col(f"`{url}`").cast("string")], "host string, path string, rule string, verdict string, globs array<string>", lambda: lambda urls: list(rules.judge(urls).values()))
 
 
 #: The rules of the registered query.
@@ -188,9 +182,6 @@ BLOCK = ("spam-*/*", "*.spam-*/*", "*/*.exe", "*/*.zip", "*casino*/*", "*/wp-log
 
 
 def op3_url_filter(spark, sf_dir: str) -> DataFrame:
-    from ._base import small_batches, table
-
-    small_batches(spark, 4096)
     return filter_urls(table(spark, sf_dir, "pages"), UrlFilter(RULES, BLOCK)).select("page_id", "host", "path", "rule", "verdict")
 
 
