@@ -2,35 +2,36 @@
 
 A model file carries a compiled character map: a double array of prefixes and the strings that they become. The
 normaliser takes, again and again, the longest prefix that the map knows (or one character as it is) and notes,
-for each byte that it writes, the source bytes it came from. Every piece is a run of normalised bytes, so the
-notes project it to a span of the original text: `begins` and `ends`, in UTF-8 bytes. Segmentation itself is the
-sentencepiece library's, so ids are exactly its own.
+for each byte that it writes, the source bytes it came from. Pieces are made from the normalised text, so each is a run
+of normalised bytes, and the notes project it to a span of the original text: `begins` and `ends`, in UTF-8 bytes.
 
-Where no piece of the model has a space mark behind another character, no merge crosses the place before a run
-of spaces; texts are then cut there, and a worker encodes each chunk that it meets once (the store is bounded).
-Models for which that doesn't hold are encoded whole.
+Byte-pair models with byte pieces are segmented here: the pair of neighbours that makes the best-scored piece is merged
+first, the leftmost of equal ones, until none is left; a character that is no piece becomes its bytes. Where no piece of
+the model has a space mark behind another character, no merge crosses the place before a run of marks; normalised
+texts are cut there, and a worker segments each chunk that it meets once (the store is bounded). Models of other kinds
+are segmented by the sentencepiece library, from the original text.
 
 Defined cases: a null text counts as empty: begin and end ids only; texts of any length are encoded whole;
-repeated rows are encoded alike; an empty table gives no rows; only the columns in `keep` are carried along.
+repeated rows are encoded alike; an empty table gives no rows; only the columns in `keep` are carried along, as they are,
+and one that has the name of a result is replaced.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
 import struct
 from array import array
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._base import small_batches, table, utf8
+from ._base import small_batches, table, utf8, with_made
 
 MARK = "▁"
-_CHUNK = re.compile(r" *[^ ]+| +")
+_CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 _MARK_BYTES = MARK.encode()
 
 
@@ -155,48 +156,95 @@ class Codec:
         self.sp = spm.SentencePieceProcessor(model_proto=model)
         proto = pb.ModelProto()
         proto.ParseFromString(model)
-        kind = proto.trainer_spec
-        user = tuple(p.piece for p in proto.pieces if p.type == pb.ModelProto.SentencePiece.USER_DEFINED)
-        self.normalizer = Normalizer(proto.normalizer_spec, user, kind.treat_whitespace_as_suffix)
-        self.lengths = np.array([1 if p.type == pb.ModelProto.SentencePiece.BYTE else len(p.piece.encode()) for p in proto.pieces], dtype=np.int64)
+        kind, types = proto.trainer_spec, pb.ModelProto.SentencePiece
+        self.user = sorted((p.piece for p in proto.pieces if p.type == types.USER_DEFINED), key=len, reverse=True)
+        self.normalizer = Normalizer(proto.normalizer_spec, tuple(self.user), kind.treat_whitespace_as_suffix)
+        self.lengths = np.array([1 if p.type == types.BYTE else len(p.piece.encode()) for p in proto.pieces], dtype=np.int64)
         self.unk, self.bos, self.eos = self.sp.unk_id(), self.sp.bos_id(), self.sp.eos_id()
-        self.mark_id = self.sp.piece_to_id(MARK)
+        self.pieces = {p.piece: (-p.score, i) for i, p in enumerate(proto.pieces) if p.type in (types.NORMAL, types.USER_DEFINED)}
+        self.bytes_ids = [i for i, p in enumerate(proto.pieces) if p.type == types.BYTE]
+        self.own = kind.model_type == kind.BPE and len(self.bytes_ids) == 256 and not any(p.type == types.UNUSED for p in proto.pieces)
+        self.cuts = not self.user and not any(MARK in p.piece.lstrip(MARK) for p in proto.pieces)
         norm = self.normalizer
-        self.cuts = (
-            norm.dummy and norm.escape and not norm.squeeze and not norm.suffix and not user and not norm.map.units
-            and kind.model_type == kind.BPE and self.mark_id != self.unk
-            and not any(MARK in p.piece.lstrip(MARK) for p in proto.pieces)
-        )
-        #: Without a map the normaliser only turns spaces into marks, which needs no search.
-        self.plain = self.cuts
+        #: Without a map, and with nothing squeezed, the normaliser only turns spaces into marks, which needs no search.
+        self.plain = norm.dummy and norm.escape and not norm.squeeze and not norm.suffix and not self.user and not norm.map.units
         self.chunk_chars, self.most = chunk_chars, most
         self.known: dict[str, bytes] = {}
 
-    def _segment(self, text: str) -> bytes:
-        """The ids of a text, chunk by chunk where that gives the library's own result."""
+    def _symbols(self, text: str) -> tuple[list[str], list[bool]]:
+        """The characters, and the user's own symbols whole, which take no part in merges."""
+        if not self.user:
+            return list(text), [False] * len(text)
+        out, fixed, at = [], [], 0
+        while at < len(text):
+            hit = next((u for u in self.user if text.startswith(u, at)), None)
+            out.append(hit or text[at])
+            fixed.append(hit is not None)
+            at += len(out[-1])
+        return out, fixed
+
+    def _merged(self, text: str) -> bytes:
+        """Ids of a run of normalised text, as bytes of unsigned 32-bit numbers."""
+        sym, fixed = self._symbols(text)
+        pieces, n = self.pieces, len(sym)
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        heap: list[tuple[float, int, int, str]] = []
+
+        def offer(left: int, right: int) -> None:
+            if not (fixed[left] or fixed[right]):
+                both = sym[left] + sym[right]
+                hit = pieces.get(both)
+                if hit:
+                    heapq.heappush(heap, (hit[0], left, right, both))
+
+        for i in range(n - 1):
+            offer(i, i + 1)
+        while heap:
+            _, left, right, both = heapq.heappop(heap)
+            if not sym[left] or not sym[right] or len(sym[left]) + len(sym[right]) != len(both):
+                continue
+            sym[left], sym[right] = both, ""
+            nxt = after[left] = after[right]
+            if nxt < n:
+                before[nxt] = left
+                offer(left, nxt)
+            if before[left] >= 0:
+                offer(before[left], left)
+        ids: list[int] = []
+        for s in sym:
+            if s:
+                hit = pieces.get(s)
+                if hit:
+                    ids.append(hit[1])
+                else:
+                    ids += [self.bytes_ids[b] for b in s.encode()]
+        return array("I", ids).tobytes()
+
+    def _segment(self, normal: str) -> bytes:
+        """The ids of a normalised text, chunk by chunk where no merge can cross."""
         if not self.cuts:
-            return array("I", self.sp.encode(text, num_threads=1)).tobytes()
-        head, *rest = _CHUNK.findall(text)
+            return self._merged(normal)
         known = self.known
         if len(known) > self.most:
             known.clear()
-        parts = [array("I", self.sp.encode(head, num_threads=1)).tobytes()]
+        chunks = _CHUNK.findall(normal)
         try:
-            parts += map(known.__getitem__, rest)
+            return b"".join(map(known.__getitem__, chunks))
         except KeyError:
-            new = [c for c in set(rest) if c not in known]
-            # the library puts a mark before what it is given, as the space at a later chunk's start does
-            got = self.sp.encode([c[1:] for c in new], num_threads=1)
-            made = {c: array("I", [self.mark_id] if c == " " else ids).tobytes() for c, ids in zip(new, got, strict=True)}
-            known.update(made if max(map(len, new)) <= self.chunk_chars else {c: x for c, x in made.items() if len(c) <= self.chunk_chars})
-            made.update((c, known[c]) for c in set(rest) if c in known)
-            parts[1:] = map(made.__getitem__, rest)
-        return b"".join(parts)
-
-    def _normal(self, data: bytes) -> tuple[int, np.ndarray, np.ndarray]:
+            made = {}
+            for c in set(chunks):
+                made[c] = known.get(c) or self._merged(c)
+                if len(c) <= self.chunk_chars:
+                    known[c] = made[c]
+            return b"".join(map(made.__getitem__, chunks))
+
+    def normalize(self, data: bytes) -> tuple[str, np.ndarray, np.ndarray]:
+        """The normalised text; for each of its bytes where the source bytes it came from begin and end."""
+        if not data:
+            return "", np.zeros(0, np.int64), np.zeros(0, np.int64)
         if not self.plain:
             out, lo, hi = self.normalizer(data)
-            return len(out), lo, hi
+            return out.decode(), lo, hi
         n = len(data)
         times = np.ones(n + 1, dtype=np.int64)
         times[0] = len(_MARK_BYTES)
@@ -204,19 +252,21 @@ class Codec:
         lo = np.repeat(np.arange(-1, n), times)
         hi = lo + 1
         lo[: len(_MARK_BYTES)] = 0
-        return len(lo), lo, hi
+        return MARK + data.decode().replace(" ", MARK), lo, hi
 
     def encode(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """ids with begin and end ids; begins and ends of each id in the text's bytes (empty spans for those two)."""
         data = utf8(text)
-        text = data.decode()
-        body = np.frombuffer(self._segment(text), dtype="<u4") if text else np.zeros(0, dtype="<u4")
-        sizes = self.lengths[body]
-        if (body == self.unk).any():
-            sizes = np.array([self.lengths[k] if k != self.unk else len(p.encode()) for k, p in zip(body.tolist(), self.sp.encode(text, out_type=str), strict=True)], dtype=np.int64)
+        normal, lo, hi = self.normalize(data)
+        if self.own:
+            body = np.frombuffer(self._segment(normal), dtype="<u4")
+            sizes = self.lengths[body]
+        else:
+            got = self.sp.encode(data.decode(), out_type="immutable_proto").pieces if data else []
+            body = np.array([p.id for p in got], dtype="<u4")
+            sizes = np.array([self.lengths[p.id] if p.id != self.unk else len(p.piece.encode()) for p in got], dtype=np.int64)
         stops = np.cumsum(sizes)
-        length, lo, hi = self._normal(data) if text else (0, body, body)
-        if (int(stops[-1]) if len(stops) else 0) != length:
+        if (int(stops[-1]) if len(stops) else 0) != len(lo):
             raise ValueError("pieces and normalised text differ in length")
         ids = np.concatenate([[self.bos], body, [self.eos]]).astype("<u4")
         begins = np.concatenate([[0], lo[stops - sizes], [len(data)]]).astype(np.int64)
@@ -227,6 +277,18 @@ class Codec:
         return self.sp.decode(ids.tolist())
 
 
+#: A worker's codecs, by the digest of their model; it keeps their chunks from task to task.
+_CODECS: dict[bytes, Codec] = {}
+
+
+def codec_of(model: bytes) -> Codec:
+    name = hashlib.sha256(model).digest()
+    if name not in _CODECS:
+        _CODECS.clear()
+        _CODECS[name] = Codec(model)
+    return _CODECS[name]
+
+
 def model_bytes(path: str | None = None) -> bytes:
     """The model file; by default the public 32k byte-fallback BPE."""
     if path is None:
@@ -245,25 +307,27 @@ def encode(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id
     spark = docs.sparkSession
     small_batches(spark)
     sent = spark.sparkContext.broadcast(model_bytes(model_path))  # one model file, of bounded size
-    src = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text}`").alias("__text"))
-    schema = ", ".join([f"`{c}` {src.schema[c].dataType.simpleString()}" for c in keep] + [f"{c} {_KINDS[c]}" for c in emit])
+    made = ", ".join(f"{c} {_KINDS[c]}" for c in emit)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codec = Codec(sent.value)
-        for b in batches:
+    def start():
+        codec = codec_of(sent.value)
+
+        def work(texts: list) -> list:
             rows = []
-            for t in b.pop("__text"):
+            for t in texts:
                 ids, begins, ends = codec.encode(t)
-                got: dict = {"ids": ids.astype(np.int32), "begins": begins, "ends": ends, "n_tokens": len(ids), "n_pieces_bytes": int(np.maximum(0, ends - np.maximum(begins, np.concatenate([[0], ends[:-1]]))).sum()), "ids_sha256": hashlib.sha256(ids.tobytes()).hexdigest()}
+                got: dict = {"ids": ids.astype(np.int32), "begins": begins, "ends": ends, "n_tokens": len(ids), "ids_sha256": hashlib.sha256(ids.tobytes()).hexdigest()}
+                if "n_pieces_bytes" in emit:
+                    got["n_pieces_bytes"] = int(np.maximum(0, ends - np.maximum(begins, np.concatenate([[0], ends[:-1]]))).sum())
                 if "decoded" in emit or "decoded_sha256" in emit:
                     got["decoded"] = codec.decode(ids)
                     got["decoded_sha256"] = hashlib.sha256(got["decoded"].encode("utf-8", "replace")).hexdigest()
                 rows.append([got[c] for c in emit])
-            for j, c in enumerate(emit):
-                b[c] = pd.Series([r[j] for r in rows], index=b.index, dtype=object if _KINDS[c][0] in "as" else np.int64)
-            yield b
+            return list(zip(*rows, strict=True)) if rows else [[] for _ in emit]
+
+        return work
 
-    return src.mapInPandas(run, schema)
+    return with_made(docs, keep, [F.col(f"`{text}`")], made, start)
 
 
 def op5_sentencepiece(spark, sf_dir: str) -> DataFrame:
