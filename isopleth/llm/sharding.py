@@ -1,17 +1,19 @@
 """Sharding by extendible hashing (operator 4).
 
 A document's hash bits are the first 32 bits of the md5 of its id. The directory starts from one bucket; a
-bucket whose documents exceed the byte limit splits on its next bit, until every bucket fits. Splits are found
-from byte counts of fine cells (`fine_bits` leading bits, a number that follows total bytes / limit), which map
+bucket whose documents exceed the byte limit splits on its next bit, until every bucket fits or holds one row. Splits are
+found from byte and row counts of fine cells (a number of leading bits that follows total bytes / limit), which map
 side combining has made small, so rows are read once for the counts and once for the assignment. Cells that are
 still too large at that depth go on with more bits from their own rows only.
 
-Rows that share all bits cannot be told apart by a hash: if such a bucket still exceeds the limit, it gets
-overflow pages, as buckets of extendible hashing do: within each input partition running sums close a page
-before it passes the limit. A single row over the limit is a page of its own, marked `oversize`.
+Rows with equal ids cannot be told apart by those bits. Such a bucket goes on with the bits of the md5 of the text, after a
+dot. Rows that share both hashes, copies as a rule, get overflow pages, as buckets of extendible hashing do: they
+are written once, and running sums within each written partition close a page before it passes the limit, so pages stay
+the same whatever is recomputed, and a row that very many share is dealt by many tasks.
 
-Defined cases: a null text has 0 bytes; a null id hashes as the empty text; an empty table gives no shard; copies
-of a row may be in one shard; other columns are carried along.
+Defined cases: a null text has 0 bytes; a null id hashes as the empty text; a single row over the limit is a shard of its
+own, marked `oversize`; an empty table gives no shard; copies of a row may be in one shard; other columns are carried
+along unchanged, whatever their names, but those named like the five results are replaced.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._base import materialize, named, table
+
 BITS = 32
 #: Directory rows up to this number are broadcast (under 4 MB); beyond, the join shuffles.
 BROADCAST_CELLS = 100_000
@@ -35,43 +39,59 @@ def _prefix(h: Column, depth: Column | int) -> Column:
     return F.floor(h / F.pow(F.lit(2.0), F.lit(BITS) - d)).cast("bigint")
 
 
-def _directory(cells: DataFrame, low: int, high: int, limit: int) -> DataFrame:
-    """For each cell (`cell`: high leading bits; `bytes`): depth, the smallest from low to high whose bucket fits, or high; and the bucket's bytes."""
-    at = cells.select("cell", "bytes", F.explode(F.sequence(F.lit(low), F.lit(high))).alias("depth"))
+def _directory(cells: DataFrame, by: list[str], low: int, high: int, limit: int) -> DataFrame:
+    """For each cell (`by`, then `cell`: high leading bits; `bytes`, `rows`): depth, the smallest from low to high whose bucket fits, or high; the bucket, its bytes, and whether it is full."""
+    at = cells.select(*by, "cell", "bytes", "rows", F.explode(F.sequence(F.lit(low), F.lit(high))).alias("depth"))
     at = at.withColumn("bucket", F.floor(F.col("cell") / F.pow(F.lit(2.0), F.lit(high) - F.col("depth"))).cast("bigint"))
-    sums = at.groupBy("depth", "bucket").agg(F.sum("bytes").alias("total")).filter((F.col("total") <= limit) | (F.col("depth") == high))
-    fits = at.join(sums, ["depth", "bucket"]).groupBy("cell").agg(F.min(F.struct("depth", "bucket", "total")).alias("m"))
-    return fits.select("cell", "m.depth", "m.bucket", "m.total")
+    sums = at.groupBy(*by, "depth", "bucket").agg(F.sum("bytes").alias("total"), F.sum("rows").alias("n"))
+    sums = sums.withColumn("full", (F.col("total") > limit) & (F.col("n") > 1)).filter(~F.col("full") | (F.col("depth") == high))
+    fits = at.join(sums, [*by, "depth", "bucket"]).groupBy(*by, "cell").agg(F.min(F.struct("depth", "bucket", "total", "full")).alias("m"))
+    return fits.select(*by, "cell", "m.depth", "m.bucket", "m.total", "m.full")
+
+
+def _bits(bucket: str, depth: str) -> Column:
+    return F.when(F.col(depth) == 0, F.lit("")).otherwise(F.lpad(F.conv(F.col(bucket).cast("string"), 10, 2), F.col(depth), "0"))
+
+
+def _counted(rows: DataFrame, *by: Column) -> DataFrame:
+    return rows.groupBy(*by).agg(F.sum("n_bytes").alias("bytes"), F.count("*").alias("rows"))
 
 
 def assign(docs: DataFrame, limit: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows with shard (its bits as text, with `+partition.page` for overflow pages), depth, n_bytes, shard_bytes, oversize."""
-    rows = docs.withColumns({"__h": hash_bits(F.col(f"`{key}`")), "n_bytes": F.coalesce(F.octet_length(f"`{text}`"), F.lit(0)).cast("bigint")})
-    fine = rows.select("__h", "n_bytes")
-    total = fine.agg(F.sum("n_bytes").alias("s")).first()["s"] or 0
-    # about 64 cells for each shard, so a split rarely needs more bits than the cells have
-    bits = min(BITS, max(4, math.ceil(math.log2(max(1.0, total / limit))) + 6))
-    cells = fine.groupBy(_prefix(F.col("__h"), bits).alias("cell")).agg(F.sum("n_bytes").alias("bytes"))
-    directory = _directory(cells, 0, bits, limit).withColumn("deep", (F.col("depth") == bits) & (F.col("total") > limit))
-    if 2**bits <= BROADCAST_CELLS:
-        directory = F.broadcast(directory)
-    rows = rows.withColumn("cell", _prefix(F.col("__h"), bits)).join(directory, "cell", "left")
-    if bits < BITS and directory.filter("deep").limit(1).count():
-        deep = rows.filter("deep").groupBy(F.col("__h").alias("cell")).agg(F.sum("n_bytes").alias("bytes"))
-        more = _directory(deep, bits, BITS, limit).select(F.col("cell").alias("__h"), F.col("depth").alias("d2"), F.col("bucket").alias("b2"), F.col("total").alias("t2"))
-        rows = rows.join(more, "__h", "left").withColumns({"depth": F.coalesce("d2", "depth"), "bucket": F.coalesce("b2", "bucket"), "total": F.coalesce("t2", "total")}).drop("d2", "b2", "t2")
-    full = F.col("total") > limit
-    name = F.when(F.col("depth") == 0, F.lit("")).otherwise(F.lpad(F.conv(F.col("bucket").cast("string"), 10, 2), F.col("depth"), "0"))
-    rows = rows.withColumn("shard", name)
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("shard", "depth", "n_bytes", "shard_bytes", "oversize")]
-    out = [F.col("shard"), F.col("depth").cast("int").alias("depth"), F.col("n_bytes"), F.col("total").alias("shard_bytes"), (F.col("n_bytes") > limit).alias("oversize")]
-    fits = rows.filter(~full).select(*kept, *out)
-    over = rows.filter(full).withColumn("__pid", F.spark_partition_id())
-    by = Window.partitionBy("shard", "__pid").orderBy("n_bytes", "__h").rowsBetween(Window.unboundedPreceding, -1)
-    page = F.when(F.col("n_bytes") * 2 > limit, F.concat(F.lit("x"), F.row_number().over(Window.partitionBy("shard", "__pid").orderBy("n_bytes", "__h")).cast("string"))).otherwise(F.floor(F.coalesce(F.sum("n_bytes").over(by), F.lit(0)) * 2 / limit).cast("string"))
-    over = over.withColumn("__page", page).withColumn("shard", F.concat("shard", F.lit("+"), F.col("__pid").cast("string"), F.lit("."), F.col("__page")))
-    over = over.withColumn("total", F.sum("n_bytes").over(Window.partitionBy("shard"))).select(*kept, *out)
-    return fits.unionByName(over)
+    """The rows with shard (its bits as text), depth (how many), n_bytes, shard_bytes, oversize."""
+    if limit < 1:
+        raise ValueError("the limit must be positive")
+    rows = docs.select(named(docs.columns).alias("row"), hash_bits(F.col(f"`{key}`")).alias("h"), F.coalesce(F.octet_length(f"`{text}`"), F.lit(0)).cast("bigint").alias("n_bytes"))
+    total = rows.agg(F.sum("n_bytes").alias("s")).first()["s"] or 0
+    # about 32 cells for each shard, so a split rarely needs more bits than the cells have
+    bits = min(BITS, max(4, math.ceil(math.log2(max(1.0, total / limit))) + 5))
+    directory = _directory(_counted(rows, _prefix(F.col("h"), bits).alias("cell")), [], 0, bits, limit)
+    small = 2**bits <= BROADCAST_CELLS
+    rows = rows.withColumn("cell", _prefix(F.col("h"), bits)).join(F.broadcast(directory) if small else directory, "cell").drop("cell")
+    if bits < BITS and directory.filter("full").limit(1).count():
+        more = _directory(_counted(rows.filter("full"), F.col("h").alias("cell")), [], bits, BITS, limit)
+        more = more.select(F.col("cell").alias("h"), *(F.col(c).alias(f"{c}2") for c in ("depth", "bucket", "total", "full")))
+        rows = rows.join(more, "h", "left").withColumns({c: F.coalesce(f"{c}2", c) for c in ("depth", "bucket", "total", "full")})
+    made = ["shard", "depth", "n_bytes", "shard_bytes", "oversize"]
+
+    def out(part: DataFrame) -> DataFrame:
+        kept = [F.col(f"row.`{c}`") for c in docs.columns if c not in made]
+        return part.select(*kept, "shard", F.col("depth").cast("int").alias("depth"), "n_bytes", F.col("total").alias("shard_bytes"), (F.col("n_bytes") > limit).alias("oversize"))
+
+    rows = rows.withColumn("shard", _bits("bucket", "depth")).select("row", "n_bytes", "shard", "depth", "total", "full")
+    done = out(rows.filter(~F.col("full")))
+    if not rows.filter("full").limit(1).count():
+        return done
+    same = materialize(rows.filter("full").select("row", "n_bytes", "shard", hash_bits(F.col(f"row.`{text}`")).alias("cell"), F.monotonically_increasing_id().alias("place")))
+    finer = _directory(_counted(same, F.col("shard"), F.col("cell")), ["shard"], 0, BITS, limit)
+    same = same.join(finer, ["shard", "cell"]).withColumns({"shard": F.concat("shard", F.lit("."), _bits("bucket", "depth")), "depth": F.col("depth") + BITS})
+    task = F.shiftright("place", 33)
+    by = Window.partitionBy("shard", task).orderBy("place")
+    before = F.coalesce(F.sum("n_bytes").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    page = F.when(F.col("n_bytes") * 2 > limit, F.concat(F.lit("x"), F.row_number().over(by).cast("string"))).otherwise(F.floor(before * 2 / limit).cast("string"))
+    paged = same.filter("full").withColumn("page", page).withColumn("shard", F.concat("shard", F.lit("+"), task.cast("string"), F.lit("."), "page"))
+    sizes = paged.groupBy("shard").agg(F.sum("n_bytes").alias("total"))
+    return done.unionByName(out(same.filter(~F.col("full")))).unionByName(out(paged.drop("total").join(sizes, "shard")))
 
 
 def write(docs: DataFrame, path: str, limit: int, key: str = "doc_id", text: str = "text") -> None:
@@ -80,20 +100,19 @@ def write(docs: DataFrame, path: str, limit: int, key: str = "doc_id", text: str
 
 
 #: Bytes of text in a shard of the registered query.
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 256 << 10
 
 
 def op4_extendible_sharding(spark, sf_dir: str) -> DataFrame:
-    from ._base import table
-
     return assign(table(spark, sf_dir, "documents").select("doc_id", "text"), SHARD_BYTES).select("doc_id", "shard", "depth", "n_bytes", "shard_bytes", "oversize")
 
 
+#: For tables in which no two rows share the hash of an id.
 ORACLE = f"""
 WITH d AS (SELECT doc_id, coalesce(strlen(text), 0) AS n_bytes, CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8)) AS BIGINT) AS h FROM documents),
 lv AS (SELECT doc_id, n_bytes, depth, h >> (32 - depth) AS bucket FROM d, range(0, 33) AS g(depth)),
-s AS (SELECT depth, bucket, sum(n_bytes) AS total FROM lv GROUP BY ALL),
-m AS (SELECT doc_id, any_value(n_bytes) AS n_bytes, min(depth) AS depth FROM lv JOIN s USING (depth, bucket) WHERE total <= {SHARD_BYTES} GROUP BY doc_id)
+s AS (SELECT depth, bucket, sum(n_bytes) AS total, count(*) AS n FROM lv GROUP BY ALL),
+m AS (SELECT doc_id, any_value(n_bytes) AS n_bytes, min(depth) AS depth FROM lv JOIN s USING (depth, bucket) WHERE total <= {SHARD_BYTES} OR n = 1 GROUP BY doc_id)
 SELECT m.doc_id, CASE WHEN m.depth = 0 THEN '' ELSE right(lpad(bin(s.bucket), 64, '0'), CAST(m.depth AS INTEGER)) END AS shard, CAST(m.depth AS INTEGER) AS depth,
   CAST(m.n_bytes AS BIGINT) AS n_bytes, CAST(total AS BIGINT) AS shard_bytes, m.n_bytes > {SHARD_BYTES} AS oversize
 FROM m JOIN lv ON lv.doc_id = m.doc_id AND lv.depth = m.depth JOIN s ON s.depth = lv.depth AND s.bucket = lv.bucket"""

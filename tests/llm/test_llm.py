@@ -257,16 +257,30 @@ def test_chat_round_trip(spark):
 
 
 def test_sharding_fits(spark, corpus):
-    rows = corpus + [(None, "x" * 50), (7, "again"), (500, "z" * 5000)] + [(600, "q" * 100)] * 30
+    rows = corpus + [(None, "x" * 50), (7, "again"), (500, "z" * 5000), (501, "y" * 1500)] + [(600, "q" * 100)] * 30 + [(601, str(i) * 20) for i in range(200)] + [(602, "p" * 700)] * 3
     got = sharding.assign(docs(spark, rows, True), 1000).collect()
     assert len(got) == len(rows)
-    size = Counter()
+    size, n = Counter(), Counter(r["shard"] for r in got)
     for r in got:
         size[r["shard"]] += r["n_bytes"]
-    assert all(n <= 1000 or any(r["oversize"] for r in got if r["shard"] == s) for s, n in size.items())
+    assert all(r["shard_bytes"] == size[r["shard"]] for r in got)
+    assert all(size[x] <= 1000 or n[x] == 1 for x in n)
+    assert {r["doc_id"] for r in got if r["oversize"]} == {500, 501}
+    plain = [r for r in got if "." not in r["shard"] and "+" not in r["shard"]]
+    names = {r["shard"] for r in plain}
+    assert len(plain) > 90 and not any(a != b and b.startswith(a) for a in names for b in names)  # no bucket lies in another
+    assert {r["doc_id"] for r in got} - {r["doc_id"] for r in plain} == {600, 601, 602}
     assert sharding.assign(docs(spark, []), 1000).count() == 0
 
 
+def test_sharding_with_clashing_columns_and_large_ids(spark):
+    clash = spark.createDataFrame([(9007199254740993, "a", 7, 8, 9, 10, 11), (None, None, 7, 8, 9, 10, 11)], "doc_id long, text string, cell int, bucket int, total int, depth int, row int")
+    got = {r["doc_id"]: r for r in sharding.assign(clash, 1000).collect()}
+    assert set(got) == {9007199254740993, None} and all((r["cell"], r["bucket"], r["total"], r["row"], r["depth"]) == (7, 8, 9, 11, 0) for r in got.values())
+    with pytest.raises(ValueError):
+        sharding.assign(clash, 0)
+
+
 def test_url_rules():
     f = url_filter.UrlFilter(url_filter.RULES, url_filter.BLOCK, ["ok.spam-x.net/*"])
     urls = ["http://a.example.org/es/1", "HTTP://EXAMPLE.ORG/en/12", "http://x.org/", "http://x.org", "http://badexample.org/es/", "https://b.com/fr/x?y", "http://com/de/", "http://spam-farm.net/a", "http://ok.spam-x.net/a", None, "nourl", "x://h#/org/", "http://evil.net/x.org/", "http://h.net/é/" + "a" * 900 + ".exe"]
