@@ -1,12 +1,14 @@
 """Quality rules, line first (operator 9), in SQL functions only.
 
-Every line is judged by itself: navigation (many `|` cells), symbol noise, shouting, boilerplate phrases and
-lines without a letter fail. Failing lines are removed; a document that loses more than `max_lost` of the
-characters in its words is rejected. Some rules look at the whole document first (too few words, too many
-repeated 8-word windows): such a document is rejected whatever its lines say.
+Every line is judged by itself: lines of many words that no mark of punctuation ends, navigation (many `|` cells, or
+words parted by bullets or arrows), symbol noise, shouting, boilerplate phrases and lines without a letter fail.
+Failing lines are removed; a document that loses more than `max_lost` of the characters in its words is rejected. Some
+rules look at the whole document first (too few words, too many repeated 8-word windows): such a document is
+rejected whatever its lines say. Windows are compared by 64-bit hashes.
 
 Defined cases: a null or empty text has no words and is rejected; lines are split at \\n only; copies of a row
-are judged alike, one row out for each row in; a null id is kept as it is; other columns pass through in `clean`.
+are judged alike, one row out for each row in; a null id is kept as it is; texts of any length are judged whole; an empty
+table gives no rows; other columns pass through in `clean`, whatever their names, unless they begin with its prefix.
 """
 
 from __future__ import annotations
@@ -18,6 +20,10 @@ from pyspark.sql import functions as F
 
 _SPACE = r"[\x20\x09-\x0D]"
 _SYMBOLS = r"[^#*$%&|<>]+"
+#: What ends a sentence, also in other scripts, and what may follow it in a line.
+_END = r"""[.!?…。！？।؟۔:;][\p{Pe}\p{Pf}\p{Pi}"']*[\x20\x09-\x0D]*$"""
+#: What parts the links of a menu or of a trail.
+_PARTS = r"[^|»›→•·]+"
 #: Phrases of page furniture; a short line that holds one is removed.
 BOILERPLATE = ("all rights reserved", "terms of service", "privacy policy", "cookie policy", "enable javascript", "lorem ipsum", "click here to subscribe", "skip to main content")
 
@@ -28,7 +34,8 @@ class Rules:
     max_repeat_percent: int = 30
     window: int = 8  #: a power of two
     max_lost: float = 0.5
-    max_bars: float = 0.25  #: `|` for each word, in lines of 4 words or more
+    unended_words: int = 12  #: a line of so many words must end in a mark of punctuation
+    max_bars: float = 0.25  #: bars, bullets and arrows for each word, in lines of 4 words or more
     max_symbols: float = 0.2  #: share of symbols
     max_upper: float = 0.7  #: share of capitals, in lines with three in a row
     max_bangs: float = 0.3  #: `!!` for each word, in lines of 4 words or more
@@ -52,29 +59,23 @@ def _paired(hashes: Column, step: int) -> Column:
     return F.zip_with(hashes, F.slice(hashes, step + 1, F.greatest(F.lit(0), F.size(hashes) - step)), lambda a, b: F.xxhash64(a, b))
 
 
-def _packed(windows: Column) -> Column:
-    """Where hashes repeat, each with its window's place in its low bits, sorted; else nothing."""
-    bits = F.length(F.bin(F.size(windows).cast("bigint")))
-    packed = F.sort_array(F.transform(windows, lambda h, i: F.call_function("shiftleft", h, bits).bitwiseOR(i.cast("bigint"))))
-    return F.when(F.size(F.array_distinct(windows)) < F.size(windows), packed).otherwise(F.expr("array()").cast("array<bigint>"))
+def _placed(windows: Column) -> Column:
+    """Where hashes repeat, each with its window's place, sorted; else nothing."""
+    placed = F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.cast("bigint").alias("i"))))
+    return F.when(F.size(F.array_distinct(windows)) < F.size(windows), placed).otherwise(F.expr("array()").cast("array<struct<h:bigint,i:bigint>>"))
 
 
-def _repeated(packed: Column, k: int) -> Column:
+def _repeated(placed: Column, k: int) -> Column:
     """Words in windows that occur twice or more, the first time included.
 
     A place counts if a neighbour has the same hash; places found, in order, each add the words that the one before
-    hasn't covered. packed is a column of its own: it is looked into once for each element.
+    hasn't covered. placed is a column of its own: it is looked into once for each element.
     """
-    n = F.size(packed)
-    bits = F.length(F.bin(n.cast("bigint")))
-
-    def hash_of(v: Column) -> Column:
-        return F.call_function("shiftright", v, bits)
-
+    n = F.size(placed)
     places = F.sort_array(
         F.transform(
-            F.filter(packed, lambda v, i: ((i > 0) & (hash_of(F.get(packed, i - 1)) == hash_of(v))) | ((i < n - 1) & (hash_of(F.get(packed, i + 1)) == hash_of(v)))),
-            lambda v: v - F.call_function("shiftleft", hash_of(v), bits),
+            F.filter(placed, lambda v, i: ((i > 0) & (F.get(placed, i - 1)["h"] == v["h"])) | ((i < n - 1) & (F.get(placed, i + 1)["h"] == v["h"]))),
+            lambda v: v["i"],
         )
     )
     return F.aggregate(
@@ -96,7 +97,8 @@ def _line_fails(line: Column, rules: Rules) -> Column:
         furniture = furniture | low.contains(phrase)
     return (
         ~line.rlike(r"\p{L}")
-        | (line.contains("|") & (n_words >= 4) & (_only(line, r"[^|]+") >= rules.max_bars * n_words))
+        | (~line.rlike(_END) & (n_words >= rules.unended_words))
+        | (line.rlike(r"[|»›→•·]") & (n_words >= 4) & (_only(line, _PARTS) >= rules.max_bars * n_words))
         | (line.rlike(r"[#*$%&|<>]") & (_only(line, _SYMBOLS) > rules.max_symbols * _only(line, _SPACE + "+")))
         | (line.rlike(r"\p{Lu}{3}") & (n_words >= 4) & (letters >= 10) & (upper > rules.max_upper * letters))
         | (line.contains("!!") & (n_words >= 4) & (F.size(F.split(line, "!!")) - 1 >= rules.max_bangs * n_words))
@@ -114,20 +116,20 @@ def judge(docs: DataFrame, text: str = "text", rules: Rules = Rules(), prefix: s
         staged = staged.withColumn(f"{p}hashes", _paired(F.col(f"{p}hashes"), step))
     full = F.size(f"{p}words") - (rules.window - 1)
     staged = staged.withColumns({f"{p}windows": F.slice(f"{p}hashes", 1, F.greatest(F.lit(0), full)), f"{p}bad": F.filter(F.col(f"{p}lines"), lambda x: _line_fails(x, rules))})
-    staged = staged.withColumn(f"{p}packed", _packed(F.col(f"{p}windows")))
+    staged = staged.withColumn(f"{p}placed", _placed(F.col(f"{p}windows")))
     staged = staged.withColumns(
         {
             f"{p}n_words": F.size(f"{p}words").cast("bigint"),
             f"{p}word_chars": F.length(F.array_join(f"{p}words", "")).cast("bigint"),
             f"{p}n_symbols": _only(whole, _SYMBOLS).cast("bigint"),
             f"{p}n_dup_lines": (F.size(f"{p}lines") - F.size(F.array_distinct(f"{p}lines"))).cast("bigint"),
-            f"{p}n_repeat_words": _repeated(F.col(f"{p}packed"), rules.window),
+            f"{p}n_repeat_words": _repeated(F.col(f"{p}placed"), rules.window),
             f"{p}lost_chars": F.when(F.size(f"{p}bad") == 0, F.lit(0)).otherwise(_only(F.array_join(f"{p}bad", ""), _SPACE + "+")).cast("bigint"),
         }
     )
     staged = staged.withColumn(f"{p}base_failed", (F.col(f"{p}n_words") < rules.min_words) | (100 * F.col(f"{p}n_repeat_words") > rules.max_repeat_percent * F.col(f"{p}n_words")))
     staged = staged.withColumn(f"{p}kept", ~F.col(f"{p}base_failed") & (F.col(f"{p}lost_chars") <= rules.max_lost * F.col(f"{p}word_chars")))
-    return staged.drop(*(p + x for x in ("words", "hashes", "windows", "packed")))
+    return staged.drop(*(p + x for x in ("words", "hashes", "windows", "placed")))
 
 
 def clean(docs: DataFrame, text: str = "text", n_chars: str | None = "n_chars", rules: Rules = Rules()) -> DataFrame:
@@ -155,6 +157,7 @@ def op9_quality_rules(spark, sf_dir: str) -> DataFrame:
 def _oracle(rules: Rules = Rules()) -> str:
     words = "list_filter(regexp_split_to_array({}, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
     seen = "length(regexp_replace({}, '[\\x20\\x09-\\x0D]+', '', 'g'))"
+    ending = _END.replace("'", "''")
     phrases = " OR ".join(f"contains(lower(line), '{x}')" for x in rules.phrases)
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
@@ -167,9 +170,9 @@ cov AS (SELECT r, sum(least(8, i - coalesce(p, i - 8))) AS n FROM rep GROUP BY r
 line AS (SELECT r, unnest(ls) AS line FROM w),
 counts AS (SELECT r, line, len({words.format('line')}) AS n, {seen.format('line')} AS seen,
   length(regexp_replace(line, '[^\p{{L}}]+', '', 'g')) AS letters, length(regexp_replace(line, '[^\p{{Lu}}]+', '', 'g')) AS upper_,
-  length(regexp_replace(line, '[^|]+', '', 'g')) AS bars, len(string_split(line, '!!')) - 1 AS bangs,
+  length(regexp_replace(line, '{_PARTS}', '', 'g')) AS bars, regexp_matches(line, '{ending}') AS ended, len(string_split(line, '!!')) - 1 AS bangs,
   length(regexp_replace(line, '[^#*$%&|<>]+', '', 'g')) AS sym FROM line),
-lost AS (SELECT r, sum(seen) AS n FROM counts WHERE letters = 0 OR (bars > 0 AND n >= 4 AND bars >= {rules.max_bars} * n) OR (sym > 0 AND sym > {rules.max_symbols} * seen)
+lost AS (SELECT r, sum(seen) AS n FROM counts WHERE letters = 0 OR (NOT ended AND n >= {rules.unended_words}) OR (bars > 0 AND n >= 4 AND bars >= {rules.max_bars} * n) OR (sym > 0 AND sym > {rules.max_symbols} * seen)
   OR (regexp_matches(line, '\p{{Lu}}{{3}}') AND n >= 4 AND letters >= 10 AND upper_ > {rules.max_upper} * letters) OR (bangs > 0 AND n >= 4 AND bangs >= {rules.max_bangs} * n)
   OR (length(line) <= {rules.boilerplate_chars} AND ({phrases})) GROUP BY r),
 fin AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
