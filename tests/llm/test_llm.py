@@ -239,7 +239,7 @@ def test_chat_round_trip(spark):
     rows = [(c, t, rng.choice(["user", "assistant", "system", None]), rng.choice(texts)) for c in range(40) for t in range(rng.randint(1, 4))]
     rows += [(100 + i, t, "user" if t % 2 == 0 else "assistant", ["start", "same", str(i)][t]) for i in range(30) for t in range(3)] + [(None, None, None, None)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    packed = chat.packs(df, pack_rows=8)
+    packed = chat.packs(df, pack_tokens=90, pack_rows=5)
     got = {r["conv_id"]: r for r in chat.read_back(packed).collect()}
     by = {}
     for c, t, role, text in rows:
@@ -252,8 +252,45 @@ def test_chat_round_trip(spark):
         g = got[c]
         assert (g["n_turns"], g["turns_sha256"], g["loss_chars"], g["loss_sha256"]) == (len(turns), hashlib.sha256(said.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
         assert g["formatted_chars"] == sum(len(chat.format_turn(r, t)) for _, r, t in turns)
-    assert sum(len(p["stream"]) for p in packed.collect()) < sum(g["formatted_chars"] for g in got.values())
-    assert chat.packs(df.limit(0)).count() == 0
+    # the stream holds each shared beginning once: as many tokens as the tree's different paths need
+    tree = {tuple((r, t) for _, r, t in turns[:d]) for turns in by.values() for d in range(1, len(turns) + 1)}
+    out = packed.orderBy("begin").collect()
+    nodes = [n for p in out for n in p["nodes"]]
+    assert len(nodes) == len(tree) and len(out) > 8 and any(p["context"] for p in out)
+    assert sum(len(p["tokens"]) for p in out) == sum(len(chat.format_turn(*p[-1])) for p in tree)
+    assert [p["begin"] + len(p["tokens"]) for p in out[:-1]] == [p["begin"] for p in out[1:]]
+    # positions and intervals follow from the parents
+    by_start = {n["start"]: n for n in nodes}
+    for p in out:
+        for n in p["nodes"]:
+            chain, k = [], n["start"]
+            while k >= 0:
+                chain.append(by_start[k])
+                k = by_start[k]["parent"]
+            assert n["position"] == sum(x["end"] - x["start"] for x in chain[1:])
+            assert p["positions"][n["start"] - p["begin"] : n["end"] - p["begin"]] == list(range(n["position"], n["position"] + n["end"] - n["start"]))
+            assert sorted(i for x in n["attends"] for i in range(x["start"], x["end"])) == sorted(i for x in chain for i in range(x["start"], x["end"]))
+    assert chat.packs(df.limit(0)).count() == 0 and chat.read_back(chat.packs(df.limit(0))).count() == 0
+
+
+def test_chat_with_another_tokenizer_and_extra_columns(spark):
+    from isopleth.llm import sentencepiece_codec
+
+    class Pieces:
+        def encode(self, text):
+            return sentencepiece_codec.codec_of(sentencepiece_codec.model_bytes()).encode(text)[0][1:-1].astype(np.int32)
+
+        def decode(self, tokens):
+            return sentencepiece_codec.codec_of(sentencepiece_codec.model_bytes()).decode(np.asarray(tokens))
+
+    rows = [(9007199254740993, 0, "user", "hi there", 1), (9007199254740993, 1, "assistant", "well, hello", 1), (None, 0, "user", "hi there", 1)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, begin int")
+    out = chat.packs(df, tokenizer=Pieces()).collect()
+    nodes = {n["parent"]: n for p in out for n in p["nodes"]}
+    assert len(nodes) == 2 and {c["conv_id"] for p in out for c in p["conversations"]} == {9007199254740993, None}
+    reply = next(n for n in nodes.values() if n["loss"])
+    stream = [t for p in out for t in p["tokens"]]
+    assert Pieces().decode(stream[reply["loss_start"] : reply["loss_end"]]) == "well, hello" and reply["position"] == nodes[-1]["end"]
 
 
 def test_sharding_fits(spark, corpus):
