@@ -43,7 +43,7 @@ RADIUS = BLOCKS * (PER_BLOCK + 1) - 1
 RATIO = 1.35
 LARGEST = 32_000
 #: Windows that are fingerprinted together; their arrays then fit a core's cache.
-SEGMENT = 16_384
+SEGMENT = 32_768
 
 
 def grid(most: int) -> list[int]:
@@ -110,28 +110,31 @@ class MultiIndex:
     """Fingerprints by the values within PER_BLOCK of each of their blocks."""
 
     def __init__(self, prints: np.ndarray):
-        self.prints = prints
         self.tables = []
         for b in range(BLOCKS):
             own = (prints >> np.uint64(BLOCK_BITS * b) & np.uint64(0xFFFF)).astype(np.uint32)
             value = (own[:, None] ^ _NEAR[None, :]).reshape(-1)
             who = np.repeat(np.arange(len(prints), dtype=np.int32), len(_NEAR))
             order = np.argsort(value, kind="stable")
-            self.tables.append((np.searchsorted(value[order], np.arange((1 << BLOCK_BITS) + 1)).astype(np.int64), who[order]))
+            first = np.searchsorted(value[order], np.arange((1 << BLOCK_BITS) + 1))
+            # for each value: whether it has any; where its fingerprints start, how many they are; they themselves in this order
+            self.tables.append((np.diff(first) > 0, first[:-1].astype(np.int32), np.diff(first).astype(np.int32), who[order], prints[who[order]]))
 
     def search(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All (window, fingerprint) pairs within RADIUS; some more than once."""
         at, who = [], []
-        for b, (bounds, list_) in enumerate(self.tables):
-            v = (windows >> np.uint64(BLOCK_BITS * b) & np.uint64(0xFFFF)).astype(np.int64)
-            first = bounds[v]
-            n = bounds[v + 1] - first
-            w = np.repeat(np.arange(len(windows)), n)
-            p = list_[np.arange(len(w)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)]
-            near = np.bitwise_count(windows[w] ^ self.prints[p]) <= RADIUS
-            near = np.flatnonzero(near)
+        values = np.ascontiguousarray(windows).astype("<u8", copy=False).view("<u2").reshape(-1, BLOCKS)
+        for b, (some, first, count, list_, prints) in enumerate(self.tables):
+            v = values[:, b]
+            hit = np.flatnonzero(some.take(v))  # most windows have no fingerprint near
+            v = v[hit]
+            n = count.take(v)
+            w = np.repeat(hit, n)
+            ends = np.cumsum(n)
+            p = np.arange(len(w)) + np.repeat(first.take(v) - (ends - n), n)
+            near = np.flatnonzero(np.bitwise_count(windows.take(w) ^ prints.take(p)) <= RADIUS)
             at.append(w[near])
-            who.append(p[near])
+            who.append(list_[p[near]])
         return np.concatenate(at), np.concatenate(who)
 
 
