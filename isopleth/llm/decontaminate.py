@@ -143,6 +143,32 @@ def weighted_jaccard(a: Counter, b: Counter) -> float:
     return shared / max(1, sum(a.values()) + sum(b.values()) - shared)
 
 
+def best_window(h: list[int], base: int, m: int, n: int, item: Counter, places: list[int]) -> tuple[float, int]:
+    """(similarity, -place) of the window of n shingles, clipped to the text's m, that is most like the item, the first of equal ones.
+
+    h has the text's shingles from base on; places are sorted. The counts slide from place to place.
+    """
+    total, best = sum(item.values()), (-1.0, 0)
+    have, shared, size = Counter(), 0, 0
+    for i, x in enumerate(places):
+        if i and x == places[i - 1] + 1:
+            if x > 0:
+                s = h[x - 1 - base]
+                shared -= have[s] <= item.get(s, 0)
+                have[s] -= 1
+                size -= 1
+            if x + n <= m:
+                s = h[x + n - 1 - base]
+                shared += have[s] < item.get(s, 0)
+                have[s] += 1
+                size += 1
+        else:
+            have = Counter(h[max(0, x) - base : min(m, x + n) - base])
+            shared, size = sum(min(c, item[s]) for s, c in have.items() if s in item), sum(have.values())
+        best = max(best, (shared / max(1, total + size - shared), -x))
+    return best
+
+
 class Items:
     """Benchmark items, their index for each shingle length and window size, and their multisets."""
 
@@ -201,7 +227,7 @@ class Items:
                 continue
             base, end = max(0, places[0]), min(m, places[-1] + n)
             h = _rolled(words[low + base : low + end + k - 1], k).tolist()
-            best, where = max(((weighted_jaccard(Counter(h[max(0, x) - base : min(m, x + n) - base]), self.sets[i]), -x) for x in places))
+            best, where = best_window(h, base, m, n, self.sets[i], places)
             if best >= similarity:
                 out.append((t, i, best, max(0, -where), min(m, n - where) + k - 1))
         return sorted(out)

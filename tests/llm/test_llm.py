@@ -176,6 +176,23 @@ def test_decontamination_finds_items_cut_short(n, end):
     assert not items.search([" ".join(words[n // 5 + 1 :]).encode()], 0.8)
 
 
+def test_sliding_window_against_each_window():
+    rng = random.Random(8)
+    for _ in range(300):
+        m, n = rng.randint(1, 40), rng.randint(1, 20)
+        h, item = [rng.randint(0, 6) for _ in range(m)], Counter(rng.randint(0, 6) for _ in range(n))
+        places = sorted(rng.sample(range(-n + 1, m), rng.randint(1, m + n - 1)))
+        want = max((decontaminate.weighted_jaccard(Counter(h[max(0, x) : min(m, x + n)]), item), -x) for x in places)
+        assert decontaminate.best_window(h, 0, m, n, item, places) == pytest.approx(want)
+
+
+def test_decontamination_of_a_long_text_full_of_one_item():
+    rng = random.Random(2)
+    item = prose(rng, 60)
+    items = decontaminate.Items([(0, item)])
+    assert [x[:3] for x in items.search([" ".join([item] * 2_000).encode()], 0.8)] == [(0, 0, 1.0)]
+
+
 def test_multi_index_finds_all_within_radius():
     rng = np.random.default_rng(2)
     prints = rng.integers(0, 2**63, 50).astype(np.uint64)
