@@ -8,7 +8,8 @@ by external induced sorting (see `induced`), and reads groups of equal strings f
 stays, the others are repeats. A shard may be far larger than a task's memory.
 
 An anchor with more than HOT different stretches is dealt by more of its context: its strings are cut into pieces by where
-the anchor stands in them, and all strings of a piece share 88 bytes, which decide the shard.
+the anchor stands in them, and all strings of a piece share 88 bytes, which decide the shard; equal pieces that a task
+holds are folded before they are dealt.
 
 Equality of stretches is that of 128 bits of hashes; that of strings is of bytes, to `depth`.
 
@@ -261,8 +262,8 @@ def _anchor_rows(docs: DataFrame) -> DataFrame:
 
 
 def _runs(partial: DataFrame, docs: DataFrame) -> DataFrame:
-    """The bytes of the strings at each partial row's anchor: a, doc, start, more, bytes."""
-    wanted = partial.groupBy("doc").agg(F.collect_list(F.struct("a", "start", "more")).alias("w"))  # bounded by the text
+    """The bytes of the strings at each partial row's anchor: a, doc, start, more, hot, bytes."""
+    wanted = partial.groupBy("doc").agg(F.collect_list(F.struct("a", "start", "more", "hot")).alias("w"))  # bounded by the text
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -274,30 +275,58 @@ def _runs(partial: DataFrame, docs: DataFrame) -> DataFrame:
             for data, n in zip(texts, size.tolist(), strict=True):
                 out += [data[begin[i] : end[i]] for i in range(at, at + n)]
                 at += n
-            yield pd.DataFrame({"a": np.concatenate(b["a"].tolist()), "doc": np.repeat(b["doc"].to_numpy(), size), "start": start, "more": more, "bytes": out})
+            yield pd.DataFrame({"a": np.concatenate(b["a"].tolist()), "doc": np.repeat(b["doc"].to_numpy(), size), "start": start, "more": more, "hot": np.concatenate(b["hot"].tolist()), "bytes": out})
 
-    rows = docs.join(wanted, "doc").select("doc", "text", F.col("w.a").alias("a"), F.col("w.start").alias("start"), F.col("w.more").alias("more"))
-    return rows.mapInPandas(run, "a long, doc long, start long, more int, bytes binary")
+    rows = docs.join(wanted, "doc").select("doc", "text", *(F.col(f"w.{c}").alias(c) for c in ("a", "start", "more", "hot")))
+    return rows.mapInPandas(run, "a long, doc long, start long, more int, hot boolean, bytes binary")
 
 
-def _pieces(runs: DataFrame) -> DataFrame:
-    """Rows of kind 0 for parts of stretches whose strings have the anchor at SPREAD neighbouring places; they are known by the bytes that all such strings share."""
+_DEALT = ["kind", "a", "doc", "start", "more", "bytes"]
+
+
+def _pieces(a: int, doc: int, start: int, packed: int, data: bytes) -> Iterator[tuple[bytes, int, int, int, bytes]]:
+    """Parts of a stretch whose strings have the anchor at SPREAD neighbouring places: key, document, start, more, bytes. The key is of the bytes that all such strings share."""
+    more, inner = packed & 255, packed >> 8
+    for low in range((inner - more) // SPREAD * SPREAD, inner + 1, SPREAD):
+        high = min(low + SPREAD, PLACES) - 1
+        first, last = inner - min(high, inner), inner - max(low, inner - more)
+        shared = data[inner - low : inner + LENGTH - high]
+        key = hashlib.blake2b(shared, digest_size=8, salt=(a & 0xFFFFFFFFFFFFFFFF).to_bytes(8, "little"), person=bytes([low])).digest()
+        yield key, doc, start + first, last - first, data[first : last + LENGTH]
+
+
+def _dealt(runs: DataFrame) -> DataFrame:
+    """Rows of kind 0 for the sort; of hot anchors their pieces, and spans (kind 1) of those that a task has folded."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for a, doc, start, packed, data in zip(b["a"].tolist(), b["doc"].tolist(), b["start"].tolist(), b["more"].tolist(), b["bytes"], strict=True):
-                more, inner = packed & 255, packed >> 8
-                for low in range((inner - more) // SPREAD * SPREAD, inner + 1, SPREAD):
-                    high = min(low + SPREAD, PLACES) - 1
-                    first, last = inner - min(high, inner), inner - max(low, inner - more)
-                    shared = data[inner - low : inner + LENGTH - high]
-                    key = hashlib.blake2b(shared, digest_size=8, salt=(a & 0xFFFFFFFFFFFFFFFF).to_bytes(8, "little"), person=bytes([low])).digest()
-                    content = hashlib.blake2b(data[first : last + LENGTH], digest_size=8, person=bytes([inner - first])).digest()
-                    out.append((0, int.from_bytes(key, "little", signed=True), int.from_bytes(content, "little", signed=True), doc, start + first, last - first))
-            yield pd.DataFrame(out, columns=["kind", "a", "b", "doc", "start", "more"])
+        held: dict[tuple[bytes, bytes], tuple[int, int, int]] = {}
+        late: list[tuple[int, int, int]] = []
 
-    return runs.mapInPandas(run, _OUT)
+        def flush() -> Iterator[pd.DataFrame]:
+            rows = [(0, int.from_bytes(key, "little", signed=True), *own, data) for (key, data), own in held.items()]
+            rows += [(1, 0, doc, start, more + LENGTH, None) for doc, start, more in late]
+            held.clear()
+            late.clear()
+            if rows:
+                yield pd.DataFrame(rows, columns=_DEALT)
+
+        for b in batches:
+            hot = b["hot"].to_numpy(dtype=bool)
+            plain = b[~hot]
+            if len(plain):
+                yield plain.assign(kind=0, more=plain["more"] & 255)[_DEALT]
+            for row in b[hot][["a", "doc", "start", "more", "bytes"]].itertuples(index=False, name=None):
+                for key, doc, start, more, data in _pieces(*row):
+                    own, other = (doc, start, more), held.get((key, data))
+                    if other is not None:
+                        own, after = min(own, other), max(own, other)
+                        late.append(after)
+                    held[key, data] = own
+            if len(held) + len(late) >= HOLD // 8:
+                yield from flush()
+        yield from flush()
+
+    return runs.mapInPandas(run, "kind int, a long, doc long, start long, more int, bytes binary")
 
 
 class Shard:
@@ -355,30 +384,32 @@ class Shard:
                 yield _spans(docs[run[new]], starts[run[new]] + at[new] - begin[run[new]], n - 1)
 
 
-def _sorted(runs: DataFrame, memory: int) -> DataFrame:
-    """Spans of the later ones of equal strings: one shard a task, its suffixes sorted."""
+def _sorted(rows: DataFrame, memory: int) -> DataFrame:
+    """Spans of the later ones of equal strings: one shard a task, its suffixes sorted. Rows of kind 1 pass."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shard = Shard(memory)
         for b in batches:
+            passed = b[b["kind"] == 1]
+            if len(passed):
+                yield passed.assign(b=0)[["kind", "a", "b", "doc", "start", "more"]]
+            b = b[b["kind"] == 0]
             if len(b):
                 shard.add(b["doc"].to_numpy(), b["start"].to_numpy(), b["more"].to_numpy(dtype=np.int64), list(b["bytes"]))
         yield from shard.spans()
 
-    return runs.repartition("a").mapInPandas(run, _OUT)
+    dealt = rows.repartition(F.when(F.col("kind") == 0, F.col("a")).otherwise(F.xxhash64("doc", "start")))
+    return dealt.mapInPandas(run, _OUT)
 
 
 def repeats(docs: DataFrame, memory: int = MEMORY) -> DataFrame:
     """doc, spans (start and end of runs to remove, in order) for docs (doc long, without null or repetition; text)."""
     found = materialize(_resolve(_anchor_rows(docs), True))
     partial = found.filter("kind = 2").select("a", "doc", "start", "more")
-    hot = partial.groupBy("a").count().filter(F.col("count") > HOT).select("a")
-    spans = found.filter("kind = 1")
-    if hot.limit(1).count():
-        finer = materialize(_resolve(_pieces(_runs(partial.join(hot, "a", "left_semi"), docs)), True))
-        partial = partial.join(hot, "a", "left_anti").unionByName(finer.filter("kind = 2").select("a", "doc", "start", "more"))
-        spans = spans.unionByName(finer.filter("kind = 1"))
-    spans = spans.unionByName(materialize(_sorted(_runs(partial, docs), memory)))
+    hot = partial.groupBy("a").count().filter(F.col("count") > HOT).select("a", F.lit(True).alias("hot"))
+    partial = partial.join(hot, "a", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    rest = materialize(_sorted(_dealt(_runs(partial, docs)), memory))
+    spans = found.filter("kind = 1").unionByName(rest)
     return spans.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("start", (F.col("start") + F.col("more")).alias("end")))).alias("spans"))
 
 
@@ -399,10 +430,10 @@ def cut(data: bytes, spans: list) -> tuple[bytes, list[tuple[int, int]]]:
 
 
 def _ordered(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """row (the columns of docs), text, and doc, the documents' order as a number without null or repetition."""
+    """row (the other columns of docs), text, and doc, the documents' order as a number without null or repetition."""
     kind = docs.schema[key].dataType.simpleString()
     plain = kind in ("bigint", "int", "smallint", "tinyint") and not docs.groupBy(F.col(f"`{key}`").alias("k")).count().filter("k is null or count > 1").limit(1).count()
-    rows = docs.select(named(docs.columns).alias("row"), F.col(f"`{text}`").alias("text"), F.col(f"`{key}`").alias("key"))
+    rows = docs.select(named([c for c in docs.columns if c != text]).alias("row"), F.col(f"`{text}`").alias("text"), F.col(f"`{key}`").alias("key"))
     if plain:
         return rows.select("row", "text", F.col("key").cast("long").alias("doc"))
     return materialize(rows.orderBy(F.col("key").asc_nulls_first(), F.xxhash64("text"), "text").select("row", "text", F.monotonically_increasing_id().alias("doc")))
@@ -417,7 +448,8 @@ def _found(docs: DataFrame, key: str, text: str, memory: int) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", memory: int = MEMORY) -> DataFrame:
     """docs with spans: the byte runs to remove from the text, or null."""
-    return _found(docs, key, text, memory).select(*(F.col(f"row.`{c}`") for c in docs.columns if c != "spans"), "spans")
+    kept = [F.col("text").alias(c) if c == text else F.col(f"row.`{c}`") for c in docs.columns if c != "spans"]
+    return _found(docs, key, text, memory).select(*kept, "spans")
 
 
 def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", n_chars: str = "n_chars", memory: int = MEMORY) -> DataFrame:
@@ -431,7 +463,7 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", n_
     cols = {text: F.col("text")}
     if n_chars in docs.columns:
         cols[n_chars] = F.when(F.col("spans").isNotNull(), F.length("text")).otherwise(F.col(f"row.`{n_chars}`")).cast(docs.schema[n_chars].dataType)
-    return made.select(*(cols.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
+    return made.select(*((cols[c] if c in cols else F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
 
 
 def op8_repeats(spark, sf_dir: str) -> DataFrame:
