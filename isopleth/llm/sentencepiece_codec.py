@@ -149,7 +149,7 @@ class Normalizer:
 class Codec:
     """encode(text) gives ids and the spans of the original bytes; decode(ids) is the library's."""
 
-    def __init__(self, model: bytes, chunk_chars: int = 48, most: int = 400_000):
+    def __init__(self, model: bytes, chunk_chars: int = 48, most: int = 200_000):
         import sentencepiece as spm
         from sentencepiece import sentencepiece_model_pb2 as pb
 
@@ -277,18 +277,6 @@ class Codec:
         return self.sp.decode(ids.tolist())
 
 
-#: A worker's codecs, by the digest of their model; it keeps their chunks from task to task.
-_CODECS: dict[bytes, Codec] = {}
-
-
-def codec_of(model: bytes) -> Codec:
-    name = hashlib.sha256(model).digest()
-    if name not in _CODECS:
-        _CODECS.clear()
-        _CODECS[name] = Codec(model)
-    return _CODECS[name]
-
-
 def model_bytes(path: str | None = None) -> bytes:
     """The model file; by default the public 32k byte-fallback BPE."""
     if path is None:
@@ -310,7 +298,7 @@ def encode(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id
     made = ", ".join(f"{c} {_KINDS[c]}" for c in emit)
 
     def start():
-        codec = codec_of(sent.value)
+        codec = Codec(sent.value)
 
         def work(texts: list) -> list:
             rows = []

@@ -294,11 +294,14 @@ def test_chat_with_another_tokenizer_and_extra_columns(spark):
     from isopleth.llm import sentencepiece_codec
 
     class Pieces:
+        def codec(self):
+            return sentencepiece_codec.Codec(sentencepiece_codec.model_bytes())
+
         def encode(self, text):
-            return sentencepiece_codec.codec_of(sentencepiece_codec.model_bytes()).encode(text)[0][1:-1].astype(np.int32)
+            return self.codec().encode(text)[0][1:-1].astype(np.int32)
 
         def decode(self, tokens):
-            return sentencepiece_codec.codec_of(sentencepiece_codec.model_bytes()).decode(np.asarray(tokens))
+            return self.codec().decode(np.asarray(tokens))
 
     rows = [(9007199254740993, 0, "user", "hi there", 1), (9007199254740993, 1, "assistant", "well, hello", 1), (None, 0, "user", "hi there", 1)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, begin int")
