@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .operators import centres, learning, local, models, pattern
+from .operators import audits, centres, explain, learning, local, models, pattern
 
-_FAMILIES = (pattern, local, centres, models, learning)
+_FAMILIES = (audits, pattern, local, centres, models, learning, explain)
 
 
 def queries() -> dict:

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 # Coefficients of Cody's approximations, by range of |x|.
 _A = (3.16112374387056560e00, 1.13864154151050156e02, 3.77485237685302021e02, 3.20937758913846947e03, 1.85777706184603153e-1)
 _B = (2.36012909523441209e01, 2.44024637934444173e02, 1.28261652607737228e03, 2.84423683343917062e03)
@@ -47,3 +52,26 @@ def chi2_sf(x: str, k: int) -> str:
         return chi2_sf2(x)
     z = f"((pow(greatest(0D, {x}) / {k}D, 1D / 3D) - (1D - 2D / {9 * k}D)) / sqrt(2D / {9 * k}D))"
     return f"(CASE WHEN {z} >= 0 THEN 0.5D * {erfc(f'abs({z}) / 1.4142135623730951D')} ELSE 1D - 0.5D * {erfc(f'abs({z}) / 1.4142135623730951D')} END)"
+
+
+def chi2_tail(x: float, k: int) -> float:
+    """The same for one value, on the driver."""
+    x = max(0.0, x)
+    if k == 2:
+        return math.exp(-x / 2)
+    z = ((x / k) ** (1 / 3) - (1 - 2 / (9 * k))) / math.sqrt(2 / (9 * k))
+    return 0.5 * math.erfc(z / math.sqrt(2))
+
+
+# Lanczos' coefficients for g = 7 and nine terms.
+_LANCZOS = (0.99999999999980993, 676.5203681218851, -1259.1392167224028, 771.32342877765313, -176.61502916214059, 12.507343278686905, -0.13857109526572012, 9.9843695780195716e-6, 1.5056327351493116e-7)
+
+
+def lgamma(x: Column) -> Column:
+    """Logarithm of the gamma function of a column of numbers of 0.5 or more."""
+    x = x - 1
+    total = F.lit(_LANCZOS[0])
+    for i, c in enumerate(_LANCZOS[1:], 1):
+        total = total + F.lit(c) / (x + i)
+    t = x + 7.5
+    return 0.5 * math.log(2 * math.pi) + (x + 0.5) * F.log(t) - t + F.log(total)

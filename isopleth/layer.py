@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .plans import neighbours
+from .plans.ranks import ranked
 from .plans.store import stored
 
 K, BAND = 8, 0.3
@@ -54,6 +55,13 @@ _kept = stored
 
 _NUM = re.compile(r"(?<![\w.])(\d+(?:\.\d*)?(?:[eE][-+]?\d+)?)D\b")
 
+_PERMS = "SELECT range AS perm FROM range(1, {})"
+
+
+def _perms(spark: SparkSession, n: int) -> DataFrame:
+    return spark.range(1, n + 1).withColumnRenamed("id", "perm")
+
+
 #: For each input of a statement: how Spark makes it, and its definition in plain SQL.
 INPUTS = {
     "pts": (pts, "SELECT vec_id AS fid, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS v1, CAST(embedding[4] AS DOUBLE) AS v2, CAST(embedding[5] AS DOUBLE) AS v3, CAST(embedding[6] AS DOUBLE) AS v4, label AS cat FROM embeddings"),
@@ -66,10 +74,13 @@ INPUTS = {
     "band": (lambda s, d: _kept(neighbours.within(pts(s, d), BAND)), f"SELECT a.fid AS src, b.fid AS dst, (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y) AS d2 FROM pts a JOIN pts b ON a.fid <> b.fid AND (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y) <= CAST({BAND} AS DOUBLE) * CAST({BAND} AS DOUBLE)"),
     "queen": (lambda s, d: _kept(neighbours.row_standardised(neighbours.lattice(cells(s, d)))), "SELECT src, dst, CAST(1 AS DOUBLE) / count(*) OVER (PARTITION BY src) AS w FROM (SELECT a.fid AS src, b.fid AS dst FROM cells a JOIN cells b ON a.fid <> b.fid AND abs(a.col - b.col) <= 1 AND abs(a.row - b.row) <= 1)"),
     "rook": (lambda s, d: _kept(neighbours.row_standardised(neighbours.lattice(cells(s, d), False))), "SELECT src, dst, CAST(1 AS DOUBLE) / count(*) OVER (PARTITION BY src) AS w FROM (SELECT a.fid AS src, b.fid AS dst FROM cells a JOIN cells b ON abs(a.col - b.col) + abs(a.row - b.row) = 1)"),
-    "perms": (lambda s, d: s.range(1, 100).withColumnRenamed("id", "perm"), "SELECT range AS perm FROM range(1, 100)"),
-    "bands": (lambda s, d: s.range(1, 4).select((F.col("id") * 0.1).alias("d")), "SELECT CAST(range AS DOUBLE) * CAST(0.1 AS DOUBLE) AS d FROM range(1, 4)"),
+    "perms": (lambda s, d: _perms(s, 999), _PERMS.format(1000)),
+    "perms199": (lambda s, d: _perms(s, 199), _PERMS.format(200)),
+    "perms99": (lambda s, d: _perms(s, 99), _PERMS.format(100)),
+    "bands": (lambda s, d: s.range(1, 11).select((F.col("id") * 0.03).alias("d")), "SELECT CAST(range AS DOUBLE) * CAST(0.03 AS DOUBLE) AS d FROM range(1, 11)"),
+    "ranked": (lambda s, d: _kept(ranked(pts(s, d), ["fid"])), "SELECT *, row_number() OVER (ORDER BY fid) AS place FROM pts"),
 }
-_NEEDS = {"knn": ("pts",), "nn": ("pts",), "band": ("pts",), "queen": ("cells",), "rook": ("cells",)}
+_NEEDS = {"knn": ("pts",), "nn": ("pts",), "band": ("pts",), "queen": ("cells",), "rook": ("cells",), "ranked": ("pts",)}
 
 
 @dataclass(frozen=True)

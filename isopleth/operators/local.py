@@ -65,7 +65,7 @@ STATEMENTS = {
     "local_moran_lisa": Statement(_LISA, ("pts", "knn")),
     "bivariate_spatial_association_lees_l": Statement(_LEE, ("pts", "knn")),
     "similarity_search": Statement(_SIM, ("pts",)),
-    "local_geary_c": Statement(_LOCAL_GEARY, ("pts", "knn", "perms")),
+    "local_geary_c": Statement(_LOCAL_GEARY.replace("{perms}", "{perms199}"), ("pts", "knn", "perms199")),
     "bivariate_lisa": Statement(_BILISA, ("pts", "knn", "perms")),
     "gw_summary_statistics": Statement(_GWSS, ("pts", "nn")),
 }

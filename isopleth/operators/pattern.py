@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..functions.dist import two_sided
-from ..layer import Statement
+from ..layer import INPUTS, Statement, pts
+from . import permuted
 
 _Z = "z AS (SELECT fid, v1 - (SELECT avg(v1) FROM {pts}) AS z FROM {pts} WHERE v1 IS NOT NULL)"
 #: One way a permuted copy of a value comes about: the k-th in a hashed order takes the value of the k-th by id.
@@ -116,20 +119,46 @@ ps AS (SELECT a.perm, sum((a.v - m) * (b.v - m)) / (count(*) * max(s2)) AS stat
 ob AS (SELECT stat AS obs FROM ps WHERE perm = 0)
 SELECT round(max(obs), 8) AS observed, round(avg(stat), 8) AS sim_mean, round(stddev_pop(stat), 8) AS sim_std, round(percentile_cont(0.05) WITHIN GROUP (ORDER BY stat), 8) AS p05, round(percentile_cont(0.95) WITHIN GROUP (ORDER BY stat), 8) AS p95, round((sum(CASE WHEN abs(stat) >= abs(obs) - 1e-12D THEN 1 ELSE 0 END) + 1D) / (count(*) + 1D), 6) AS p_value FROM ps CROSS JOIN ob WHERE perm > 0"""
 
+def _with(make):
+    """A query over the points layer and one of its graphs."""
+
+    def run(spark, sf_dir: str):
+        return make(pts(spark, sf_dir), lambda graph: INPUTS[graph][0](spark, sf_dir))
+
+    return run
+
+
+def _from_zero(df):
+    low = df.agg(F.min("v1")).first()[0]
+    return df.withColumn("v1", F.col("v1") - low)
+
+
 STATEMENTS = {
     "global_moran_knn8": moran("pts", "v1", "knn"),
     "global_moran_queen": moran("cells", "value", "queen"),
     "global_moran_rook": moran("cells", "value", "rook"),
-    "geary_c_autocorrelation": Statement(_GEARY, ("pts", "knn", "perms")),
-    "global_bivariate_lee_l": Statement(_LEE, ("pts", "knn", "perms")),
-    "join_count_statistics": Statement(_JOIN, ("pts", "knn", "perms")),
-    "spatial_gini_inequality": Statement(_GINI, ("pts", "knn", "perms")),
     "general_g_autocorrelation": Statement(_GENERAL_G, ("pts", "band")),
     "incremental_spatial_autocorrelation": Statement(_INCREMENTAL, ("pts", "band", "bands")),
     "ripleys_k_function": Statement(_RIPLEY, ("pts", "band", "bands")),
     "average_nearest_neighbor": Statement(_ANN, ("pts", "nn")),
     "calculate_distance_band": Statement(_BAND_STATS, ("nn",)),
     "geodetector_q_statistic": Statement(_Q, ("pts", "perms")),
+}
+#: Statistics with edge sums under permutations: the query deals arrays, the statement is what other engines run.
+_PLAIN = {
+    "geary_c_autocorrelation": Statement(_GEARY, ("pts", "knn", "perms")),
+    "global_bivariate_lee_l": Statement(_LEE, ("pts", "knn", "perms")),
+    "join_count_statistics": Statement(_JOIN, ("pts", "knn", "perms")),
+    "spatial_gini_inequality": Statement(_GINI.replace("{perms}", "{perms99}"), ("pts", "knn", "perms99")),
     "colocation_quotient": Statement(_CLQ, ("pts", "knn", "perms")),
     "sensitivity_test": Statement(_SENS, ("pts", "band", "perms")),
 }
+QUERIES = {
+    "geary_c_autocorrelation": _with(lambda p, g: permuted.geary_c(p, g("knn"), "v1")),
+    "global_bivariate_lee_l": _with(lambda p, g: permuted.global_lee_l(p, g("knn"), "v1", "v2")),
+    "join_count_statistics": _with(lambda p, g: permuted.join_counts(p, g("knn"), "v1")),
+    "spatial_gini_inequality": _with(lambda p, g: permuted.spatial_gini(_from_zero(p), g("knn"), "v1")),
+    "colocation_quotient": _with(lambda p, g: permuted.colocation(p, g("knn"), "cat", 0, 1)),
+    "sensitivity_test": _with(lambda p, g: permuted.sensitivity(p, g("band"), "v1")),
+}
+ORACLES = {k: s.oracle() for k, s in _PLAIN.items()}
