@@ -22,6 +22,8 @@ _SPACE = r"[\x20\x09-\x0D]"
 _SYMBOLS = r"[^#*$%&|<>]+"
 #: What ends a sentence, also in other scripts, and what may follow it in a line.
 _END = r"""[.!?…。！？।؟۔:;][\p{Pe}\p{Pf}\p{Pi}"']*[\x20\x09-\x0D]*$"""
+#: Characters at a line's end among which its mark is looked for.
+_TAIL = 12
 #: What parts the links of a menu or of a trail.
 _PARTS = r"[^|»›→•·]+"
 #: Phrases of page furniture; a short line that holds one is removed.
@@ -97,9 +99,8 @@ def _line_fails(line: Column, rules: Rules) -> Column:
         furniture = furniture | low.contains(phrase)
     return (
         ~line.rlike(r"\p{L}")
-        | (~line.rlike(_END) & (n_words >= rules.unended_words))
-        | (line.rlike(r"[|»›→•·]") & (n_words >= 4) & (_only(line, _PARTS) >= rules.max_bars * n_words))
-        | (line.rlike(r"[#*$%&|<>]") & (_only(line, _SYMBOLS) > rules.max_symbols * _only(line, _SPACE + "+")))
+        | (~F.right(line, F.lit(_TAIL)).rlike(_END) & (n_words >= rules.unended_words))
+        | (line.rlike(r"[#*$%&|<>»›→•·]") & (((n_words >= 4) & (_only(line, _PARTS) >= F.greatest(F.lit(1), rules.max_bars * n_words))) | (_only(line, _SYMBOLS) > rules.max_symbols * _only(line, _SPACE + "+"))))
         | (line.rlike(r"\p{Lu}{3}") & (n_words >= 4) & (letters >= 10) & (upper > rules.max_upper * letters))
         | (line.contains("!!") & (n_words >= 4) & (F.size(F.split(line, "!!")) - 1 >= rules.max_bangs * n_words))
         | ((F.length(line) <= rules.boilerplate_chars) & furniture)
@@ -170,7 +171,7 @@ cov AS (SELECT r, sum(least(8, i - coalesce(p, i - 8))) AS n FROM rep GROUP BY r
 line AS (SELECT r, unnest(ls) AS line FROM w),
 counts AS (SELECT r, line, len({words.format('line')}) AS n, {seen.format('line')} AS seen,
   length(regexp_replace(line, '[^\p{{L}}]+', '', 'g')) AS letters, length(regexp_replace(line, '[^\p{{Lu}}]+', '', 'g')) AS upper_,
-  length(regexp_replace(line, '{_PARTS}', '', 'g')) AS bars, regexp_matches(line, '{ending}') AS ended, len(string_split(line, '!!')) - 1 AS bangs,
+  length(regexp_replace(line, '{_PARTS}', '', 'g')) AS bars, regexp_matches(right(line, {_TAIL}), '{ending}') AS ended, len(string_split(line, '!!')) - 1 AS bangs,
   length(regexp_replace(line, '[^#*$%&|<>]+', '', 'g')) AS sym FROM line),
 lost AS (SELECT r, sum(seen) AS n FROM counts WHERE letters = 0 OR (NOT ended AND n >= {rules.unended_words}) OR (bars > 0 AND n >= 4 AND bars >= {rules.max_bars} * n) OR (sym > 0 AND sym > {rules.max_symbols} * seen)
   OR (regexp_matches(line, '\p{{Lu}}{{3}}') AND n >= 4 AND letters >= 10 AND upper_ > {rules.max_upper} * letters) OR (bangs > 0 AND n >= 4 AND bangs >= {rules.max_bangs} * n)
