@@ -44,6 +44,8 @@ _CONTROL = re.compile("|".join(re.escape(c) for c in sorted(CONTROL, key=len, re
 _MARKS = re.compile(f"{re.escape(START)}|{re.escape(SEP)}|{re.escape(END)}")
 _DROP = re.compile(r"\\(.)", re.S)
 LOSS_ROLE = "assistant"
+#: Tokens of ancestors, over all packs that go on from them, up to which they are broadcast (16 MB).
+BROADCAST_TOKENS = 4_000_000
 
 
 def escape(text: str) -> str:
@@ -249,6 +251,8 @@ def packs(rows: DataFrame, pack_tokens: int = 1 << 18, pack_rows: int = 1 << 16,
 def _with_ancestors(packed: DataFrame) -> DataFrame:
     """The packs with `before`: the tokens of each node in their context, from the packs that hold them."""
     asked = packed.select("begin", F.explode("context").alias("c")).select(F.col("begin").alias("by"), "c.start", "c.end")
+    total = asked.agg(F.sum(F.col("end") - F.col("start"))).first()[0] or 0
+    near = F.broadcast if total <= BROADCAST_TOKENS else (lambda df: df)  # beyond, the packs are dealt by their beginnings
     held = packed.select("begin", F.explode("nodes.start").alias("start"))
     wanted = asked.select("start", "end").distinct().join(held, "start").groupBy("begin").agg(F.collect_list(F.struct("start", "end")).alias("w"))
 
@@ -258,9 +262,9 @@ def _with_ancestors(packed: DataFrame) -> DataFrame:
                 got = tokens.values.to_numpy(zero_copy_only=False)
                 yield pa.RecordBatch.from_arrays([pa.array([x["start"] for x in w], pa.int64()), pa.array([got[x["start"] - begin : x["end"] - begin] for x in w], pa.list_(pa.int32()))], names=["start", "tokens"])
 
-    found = packed.select("begin", "tokens").join(wanted, "begin").mapInArrow(take, "start long, tokens array<int>")
-    before = asked.join(found, "start").groupBy(F.col("by").alias("begin")).agg(F.collect_list(F.struct("start", "tokens")).alias("before"))
-    return packed.join(before, "begin", "left")
+    found = packed.select("begin", "tokens").join(near(wanted), "begin").mapInArrow(take, "start long, tokens array<int>")
+    before = asked.join(near(found), "start").groupBy(F.col("by").alias("begin")).agg(F.collect_list(F.struct("start", "tokens")).alias("before"))
+    return packed.join(near(before), "begin", "left")
 
 
 def read_back(packed: DataFrame, tokenizer=CodePoints()) -> DataFrame:
