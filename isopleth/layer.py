@@ -41,6 +41,13 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.join(v, "n_nationkey", "left").select(F.col("n_nationkey").cast("long").alias("fid"), (F.col("n_nationkey") % 5).cast("long").alias("col"), F.floor(F.col("n_nationkey") / 5).alias("row"), F.coalesce(F.round(F.col("s") / F.col("m"), 4), F.lit(0)).cast("double").alias("value"), F.coalesce("m", F.lit(0)).cast("double").alias("size"))
 
 
+def squares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cells as polygons."""
+    x, y = F.col("col"), F.col("row")
+    corners = F.array_join(F.array(*(F.concat_ws(" ", (x + i).cast("string"), (y + j).cast("string")) for i, j in ((0, 0), (1, 0), (1, 1), (0, 1), (0, 0)))), ", ")
+    return cells(spark, sf_dir).select("fid", F.concat(F.lit("POLYGON (("), corners, F.lit("))")).alias("geom"))
+
+
 def reg(spark: SparkSession, sf_dir: str) -> DataFrame:
     l = table(spark, sf_dir, "lineitem")
     return l.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("fid"), F.col("l_extendedprice").cast("double").alias("y"), F.col("l_quantity").cast("double").alias("x1"), F.col("l_discount").cast("double").alias("x2"), F.col("l_tax").cast("double").alias("x3"), F.col("l_returnflag").alias("regime"), (F.col("l_linestatus") == "F").cast("int").alias("bin"))
@@ -72,8 +79,8 @@ INPUTS = {
     "knn": (lambda s, d: _kept(neighbours.row_standardised(neighbours.nearest(pts(s, d), K))), f"SELECT src, dst, CAST(1 AS DOUBLE) / count(*) OVER (PARTITION BY src) AS w FROM (SELECT a.fid AS src, b.fid AS dst, row_number() OVER (PARTITION BY a.fid ORDER BY (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y), b.fid) AS r FROM pts a JOIN pts b ON a.fid <> b.fid) WHERE r <= {K}"),
     "nn": (lambda s, d: _kept(neighbours.nearest(pts(s, d), K)), f"SELECT src, dst, d2, r FROM (SELECT a.fid AS src, b.fid AS dst, (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y) AS d2, row_number() OVER (PARTITION BY a.fid ORDER BY (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y), b.fid) AS r FROM pts a JOIN pts b ON a.fid <> b.fid) WHERE r <= {K}"),
     "band": (lambda s, d: _kept(neighbours.within(pts(s, d), BAND)), f"SELECT a.fid AS src, b.fid AS dst, (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y) AS d2 FROM pts a JOIN pts b ON a.fid <> b.fid AND (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y) <= CAST({BAND} AS DOUBLE) * CAST({BAND} AS DOUBLE)"),
-    "queen": (lambda s, d: _kept(neighbours.row_standardised(neighbours.lattice(cells(s, d)))), "SELECT src, dst, CAST(1 AS DOUBLE) / count(*) OVER (PARTITION BY src) AS w FROM (SELECT a.fid AS src, b.fid AS dst FROM cells a JOIN cells b ON a.fid <> b.fid AND abs(a.col - b.col) <= 1 AND abs(a.row - b.row) <= 1)"),
-    "rook": (lambda s, d: _kept(neighbours.row_standardised(neighbours.lattice(cells(s, d), False))), "SELECT src, dst, CAST(1 AS DOUBLE) / count(*) OVER (PARTITION BY src) AS w FROM (SELECT a.fid AS src, b.fid AS dst FROM cells a JOIN cells b ON abs(a.col - b.col) + abs(a.row - b.row) = 1)"),
+    "queen": (lambda s, d: _kept(neighbours.row_standardised(neighbours.contiguity(squares(s, d)))), "SELECT src, dst, CAST(1 AS DOUBLE) / count(*) OVER (PARTITION BY src) AS w FROM (SELECT a.fid AS src, b.fid AS dst FROM cells a JOIN cells b ON a.fid <> b.fid AND abs(a.col - b.col) <= 1 AND abs(a.row - b.row) <= 1)"),
+    "rook": (lambda s, d: _kept(neighbours.row_standardised(neighbours.contiguity(squares(s, d), False))), "SELECT src, dst, CAST(1 AS DOUBLE) / count(*) OVER (PARTITION BY src) AS w FROM (SELECT a.fid AS src, b.fid AS dst FROM cells a JOIN cells b ON abs(a.col - b.col) + abs(a.row - b.row) = 1)"),
     "perms": (lambda s, d: _perms(s, 999), _PERMS.format(1000)),
     "perms199": (lambda s, d: _perms(s, 199), _PERMS.format(200)),
     "perms99": (lambda s, d: _perms(s, 99), _PERMS.format(100)),

@@ -20,7 +20,7 @@ def _perm(value: str, table: str = "{pts}") -> str:
 
 
 def moran(nodes: str, value: str, edges: str, extra: tuple[str, ...] = ()) -> Statement:
-    """Moran's I with the randomization variance; S1 sums over the directed edges present."""
+    """Moran's I with the randomization variance; S1 sums over the directed edges present. A constant field, or no edges: I 0, variance 0, z 0, p 1."""
     return Statement(
         f"""val AS (SELECT fid, CAST({value} AS DOUBLE) AS y FROM {{{nodes}}} WHERE {value} IS NOT NULL),
 s AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(y) AS m FROM val),
@@ -30,9 +30,9 @@ e AS (SELECT {{{edges}}}.src, {{{edges}}}.dst, {{{edges}}}.w, a.z AS zi, b.z AS
 num AS (SELECT sum(w * zi * zj) AS num, sum(w) AS s0 FROM e),
 q1 AS (SELECT 0.5D * sum((a.w + coalesce(b.w, 0D)) * (a.w + coalesce(b.w, 0D))) AS s1 FROM e a LEFT JOIN e b ON a.src = b.dst AND a.dst = b.src),
 q2 AS (SELECT sum(t * t) AS s2w FROM (SELECT id, sum(w) AS t FROM (SELECT src AS id, w FROM e UNION ALL SELECT dst, w FROM e) u GROUP BY id) g),
-c AS (SELECT n, num, s0, s1, s2w, s2, (s4 / n) / ((s2 / n) * (s2 / n)) AS k, n / s0 * num / s2 AS i, -1D / (n - 1) AS ex FROM s CROSS JOIN mo CROSS JOIN num CROSS JOIN q1 CROSS JOIN q2),
-va AS (SELECT *, (n * ((n * n - 3 * n + 3) * s1 - n * s2w + 3 * s0 * s0) - k * ((n * n - n) * s1 - 2 * n * s2w + 6 * s0 * s0)) / ((n - 1) * (n - 2) * (n - 3) * s0 * s0) - ex * ex AS var FROM c),
-r AS (SELECT *, (i - ex) / sqrt(var) AS zs FROM va)
+c AS (SELECT n, num, nullif(s0, 0D) AS s0, s1, s2w, nullif(s2, 0D) AS s2, (s4 / nullif(n, 0D)) / nullif((s2 / nullif(n, 0D)) * (s2 / nullif(n, 0D)), 0D) AS k, -1D / nullif(n - 1, 0D) AS ex FROM s CROSS JOIN mo CROSS JOIN num CROSS JOIN q1 CROSS JOIN q2),
+va AS (SELECT *, n / s0 * num / s2 AS i, (n * ((n * n - 3 * n + 3) * s1 - n * s2w + 3 * s0 * s0) - k * ((n * n - n) * s1 - 2 * n * s2w + 6 * s0 * s0)) / nullif((n - 1) * (n - 2) * (n - 3) * s0 * s0, 0D) - ex * ex AS var FROM c),
+r AS (SELECT n, ex, coalesce(i, 0D) AS i, coalesce(var, 0D) AS var, CASE WHEN var > 0 THEN (i - ex) / sqrt(var) ELSE 0D END AS zs FROM va)
 SELECT CAST(n AS BIGINT) AS n, round(i, 8) AS moran_i, round(ex, 8) AS expected, round(var, 10) AS variance, round(zs, 6) AS z_score, round({two_sided('zs')}, 8) AS p_value,
   CASE WHEN {two_sided('zs')} >= 0.05D THEN 'random' WHEN zs > 0 THEN 'clustered' ELSE 'dispersed' END AS pattern FROM r""",
         (nodes, edges, *extra),

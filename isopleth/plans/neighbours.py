@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .store import stored
@@ -132,6 +132,55 @@ def lattice(df: DataFrame, queen: bool = True) -> DataFrame:
     return a.select("src", "s.col", "s.row").join(df.select(F.col("fid").alias("dst"), "col", "row"), ["col", "row"]).select("src", "dst")
 
 
+def rings(geom: Column) -> Column:
+    """The rings of a WKT polygon or multipolygon, each an array of points (x, y)."""
+    parts = F.filter(F.split(F.regexp_replace(geom, r"[A-Za-z]*POLYGON|\(", " "), r"\)"), lambda r: r.rlike("[0-9]"))
+
+    def point(p: Column) -> Column:
+        xy = F.split(F.trim(p), r"\s+")
+        return F.struct(xy[0].cast("double").alias("x"), xy[1].cast("double").alias("y"))
+
+    return F.transform(parts, lambda r: F.transform(F.filter(F.split(r, ","), lambda p: p.rlike("[0-9]")), point))
+
+
+def contiguity(df: DataFrame, queen: bool = True) -> DataFrame:
+    """src, dst of polygons (fid, geom: WKT) whose boundaries meet; without queen, along a line or across.
+
+    Sides fall into the grid cells of their boxes, cells are joined, and exact orientation tests decide, so only sides
+    that are near meet, and corners that touch the middle of a side count. One polygon inside another isn't found.
+    """
+    at = df.filter(F.col("geom").isNotNull()).select("fid", F.explode(rings(F.col("geom"))).alias("r"))
+    pairs = F.arrays_zip(F.slice("r", 1, F.greatest(F.lit(0), F.size("r") - 1)).alias("a"), F.slice("r", 2, F.greatest(F.lit(0), F.size("r") - 1)).alias("b"))
+    sides = at.select("fid", F.explode(pairs).alias("s")).select("fid", F.col("s.a.x").alias("ax"), F.col("s.a.y").alias("ay"), F.col("s.b.x").alias("bx"), F.col("s.b.y").alias("by")).filter("ax <> bx or ay <> by")
+    sides = stored(sides.withColumn("sid", F.monotonically_increasing_id()))
+    size = sides.agg(F.avg(F.greatest(F.abs(F.col("bx") - F.col("ax")), F.abs(F.col("by") - F.col("ay"))))).first()[0]
+    if not size:
+        return df.sparkSession.createDataFrame([], "src long, dst long")
+
+    def cells(a: str, b: str) -> Column:
+        return F.explode(F.sequence(F.floor(F.least(a, b) / size), F.floor(F.greatest(a, b) / size)))
+
+    grid = sides.withColumn("cx", cells("ax", "bx")).withColumn("cy", cells("ay", "by"))
+    left = grid.select("cx", "cy", *(F.col(c).alias(f"l_{c}") for c in ("fid", "ax", "ay", "bx", "by")))
+    both = left.join(grid, ["cx", "cy"]).filter("l_fid < fid")
+
+    def turn(p: str, q: str, r: str) -> Column:
+        """the sign of the turn from p over q to r"""
+        px, py, qx, qy, rx, ry = (F.col(f"{v}{axis}") for v in (p, q, r) for axis in "xy")
+        return F.signum((qx - px) * (ry - py) - (qy - py) * (rx - px))
+
+    d1, d2, d3, d4 = turn("l_a", "l_b", "a"), turn("l_a", "l_b", "b"), turn("a", "b", "l_a"), turn("a", "b", "l_b")
+    over = [F.least(F.greatest(f"l_a{v}", f"l_b{v}"), F.greatest(f"a{v}", f"b{v}")) - F.greatest(F.least(f"l_a{v}", f"l_b{v}"), F.least(f"a{v}", f"b{v}")) for v in "xy"]
+    boxes = (over[0] >= 0) & (over[1] >= 0)
+    if queen:
+        meet = boxes & (d1 * d2 <= 0) & (d3 * d4 <= 0)
+    else:
+        along = (d1 == 0) & (d2 == 0) & boxes & (F.greatest(*over) > 0)
+        meet = along | ((d1 * d2 < 0) & (d3 * d4 < 0))
+    found = both.filter(meet).select(F.col("l_fid").alias("src"), F.col("fid").alias("dst")).distinct()
+    return found.unionByName(found.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+
+
 def row_standardised(edges: DataFrame) -> DataFrame:
     """src, dst, w with w = 1 / number of the source's neighbours."""
     n = edges.groupBy("src").agg(F.count("*").alias("m"))
