@@ -444,7 +444,7 @@ def mgwr(df: DataFrame, y: str, xs: list[str], candidates: tuple[int, ...] = (),
             if len(tried) > 1:
                 s = got.agg(*(F.sum((F.col("r") - F.col("x") * fit[k]) ** 2).alias(f"s{k}") for k in tried), *(F.sum(F.when(F.col(f"x{k}") > 0, F.col("x") ** 2 / F.col(f"x{k}"))).alias(f"t{k}") for k in tried)).first()
                 chosen[j] = min(tried, key=lambda k: n * math.log(max(s[f"s{k}"], 1e-300) / n) + n * (n + s[f"t{k}"]) / max(1e-9, n - 2 - s[f"t{k}"]))
-            k = chosen[j]
+            k = chosen.setdefault(j, tried[0])
             state = stored(state.drop(f"f_{j}", f"c_{j}").join(got.select("fid", (F.col("x") * fit[k]).alias(f"f_{j}"), fit[k].alias(f"c_{j}")), "fid"))
         moved = state.alias("a").join(before.alias("b"), "fid").agg(F.sum(sum(((F.col(f"a.f_{j}") - F.col(f"b.f_{j}")) ** 2 for j in terms), F.lit(0.0))).alias("d"), F.sum(sum((F.col(f"a.f_{j}") ** 2 for j in terms), F.lit(0.0))).alias("s")).first()
         if step >= 3 and moved["d"] <= tolerance**2 * max(moved["s"], 1e-12):

@@ -127,31 +127,59 @@ def skater(df: DataFrame, edges: DataFrame, fields: list[str], k: int = 3, most:
     return df.select("fid").join(out, "fid", "left")
 
 
-def hdbscan(df: DataFrame, fields: list[str], least: int = 5, most: int = MOST) -> DataFrame:
-    """fid, cluster_id (-1: noise), cluster_prob: density clusters of two standardised fields (Campello, Moulavi and Sander 2013).
+#: Features up to which the tree of mutual reachability is that of all pairs.
+EXACT = 20_000
 
-    Edges go to 4 * least nearest places; components of that graph are linked through their nearest members, found by
-    wider neighbourhoods until the graph is connected, so the tree is that of mutual reachability among those edges.
+
+def _all_pairs_tree(v: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Prim's tree over mutual reachability, a row of distances at a time."""
+    n = len(v)
+    core = np.empty(n)
+    for i in range(n):
+        core[i] = np.partition(((v - v[i]) ** 2).sum(axis=1), min(n, least) - 1)[min(n, least) - 1]
+    best, source, free = np.full(n, np.inf), np.zeros(n, dtype=np.int64), np.ones(n, dtype=bool)
+    a, b, cost, at = [], [], [], 0
+    for _ in range(n - 1):
+        free[at] = False
+        reach = np.maximum(np.maximum(((v - v[at]) ** 2).sum(axis=1), core[at]), core)
+        closer = free & (reach < best)
+        best[closer], source[closer] = reach[closer], at
+        at = int(np.where(free, best, np.inf).argmin())
+        a.append(source[at])
+        b.append(at)
+        cost.append(math.sqrt(best[at]))
+    return np.array(a, dtype=np.int64), np.array(b, dtype=np.int64), np.array(cost)
+
+
+def hdbscan(df: DataFrame, fields: list[str], least: int = 5, most: int = MOST, exact: int = EXACT) -> DataFrame:
+    """fid, cluster_id (-1: noise), cluster_prob: density clusters of standardised fields (Campello, Moulavi and Sander 2013).
+
+    Up to `exact` features the tree is that of all pairs. Beyond, for two fields, its edges go to 4 * least nearest places, and
+    to more until the graph is connected; links longer than those lists reach may then differ from the exact ones.
     """
     from .learning import _standard
     from .models import complete
 
-    if len(fields) != 2:
-        raise ValueError("two fields")
-    z = _standard(complete(df, fields), fields).select("fid", F.col(f"z_{fields[0]}").alias("x"), F.col(f"z_{fields[1]}").alias("y"))
-    z = stored(z)
-    n = z.count()
+    z = stored(_standard(complete(df, fields), fields).select("fid", *(F.col(f"z_{f}").alias(f"z{i}") for i, f in enumerate(fields))))
+    names, n = [f"z{i}" for i in range(len(fields))], z.count()
     if n < 2 * least:
         return df.select("fid").join(z.select("fid", F.lit(-1).alias("cluster_id"), F.lit(0.0).alias("cluster_prob")), "fid", "left")
-    k = min(n - 1, 4 * least)
-    while True:
-        near = stored(neighbours.nearest(z, k))
-        core = near.filter(F.col("r") <= max(1, least - 1)).groupBy("src").agg(F.max("d2").alias("core"))
-        costed = near.join(core, "src").join(core.select(F.col("src").alias("dst"), F.col("core").alias("other")), "dst").select(F.col("src").alias("a"), F.col("dst").alias("b"), F.sqrt(F.greatest("d2", "core", "other")).alias("cost"))
-        fid, _, a, b, cost = _tree(z, spanning_forest(z, costed), [], most)
-        if len(a) == n - 1 or k == n - 1:
-            break
-        k = min(n - 1, 4 * k)
+    if n <= exact:
+        got = z.toArrow().sort_by("fid")  # at most `exact` features
+        fid = got["fid"].to_numpy()
+        a, b, cost = _all_pairs_tree(np.column_stack([got[c].to_numpy() for c in names]), least)
+    else:
+        if len(fields) != 2:
+            raise ValueError(f"more than {exact} features: two fields")
+        xy, k = z.select("fid", F.col("z0").alias("x"), F.col("z1").alias("y")), 4 * least
+        while True:
+            near = stored(neighbours.nearest(xy, k))
+            core = near.filter(F.col("r") <= max(1, least - 1)).groupBy("src").agg(F.max("d2").alias("core"))
+            costed = near.join(core, "src").join(core.select(F.col("src").alias("dst"), F.col("core").alias("other")), "dst").select(F.col("src").alias("a"), F.col("dst").alias("b"), F.sqrt(F.greatest("d2", "core", "other")).alias("cost"))
+            fid, _, a, b, cost = _tree(xy, spanning_forest(xy, costed), [], most)
+            if len(a) == n - 1 or k >= n - 1:
+                break
+            k = min(n - 1, 4 * k)
     label, prob = condensed(n, a, b, cost, least)
     out = df.sparkSession.createDataFrame([(int(f), int(c), float(p)) for f, c, p in zip(fid, label, prob, strict=True)], "fid long, cluster_id int, cluster_prob double")
     return df.select("fid").join(out, "fid", "left")
