@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .operators import audits, centres, explain, learning, local, models, pattern
+from .operators import audits, centres, charts, explain, learning, local, models, pattern
 
-_FAMILIES = (audits, pattern, local, centres, models, learning, explain)
+_FAMILIES = (audits, charts, pattern, local, centres, models, learning, explain)
 
 
 def queries() -> dict:

@@ -282,7 +282,7 @@ QUERIES = {
     "field_readiness": lambda s, d: readiness(reg(s, d), ["y", "x1", "x2", "x3", "bin"]),
     "field_correlations": lambda s, d: correlations(reg(s, d), ["y", "x1", "x2", "x3"]).select("a", "b", F.round("r", 8).alias("r"), "n", "strong"),
     "collinearity": lambda s, d: collinearity(reg(s, d), ["x1", "x2", "x3"]),
-    "model_output_comparison": _compared,
+    "model_comparison_matrix": _compared,
     "global_moran_reading": _moran_read,
     "neighbour_summary": lambda s, d: neighbour_summary(neighbours.within(pts(s, d), 0.3), pts(s, d)).select("n", "minimum", F.round("mean", 6).alias("mean"), "median", "maximum", "isolated", "all_connected", "density"),
 }

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import geometry
 from ..layer import Statement, cust
 
 _MEAN = """s AS (SELECT sum(w * x) / sum(w) AS mx, sum(w * y) / sum(w) AS my, sum(w) AS tw, count(*) AS n FROM {cust} WHERE w >= 0)
@@ -48,10 +49,19 @@ def median_center(df: DataFrame, steps: int = 100, tolerance: float = 1e-6) -> D
     return df.sparkSession.createDataFrame([(x, y, total)], "median_x double, median_y double, total_dist double")
 
 
-def circle(cx: float, cy: float, radius: float) -> str:
-    """WKT of a polygon of 72 vertices."""
-    ring = [(cx + radius * math.cos(2 * math.pi * i / 72), cy + radius * math.sin(2 * math.pi * i / 72)) for i in range(72)]
-    return "POLYGON ((" + ", ".join(f"{a!r} {b!r}" for a, b in [*ring, ring[0]]) + "))"
+def standard_circle(row: DataFrame) -> DataFrame:
+    """The standard distance's row with its circle as a polygon."""
+    return row.withColumn("geom", geometry.circle(F.col("mean_x"), F.col("mean_y"), F.col("radius")))
+
+
+def deviational_ellipse(row: DataFrame) -> DataFrame:
+    """The directional distribution's row with its ellipse as a polygon."""
+    return row.withColumn("geom", geometry.ellipse(F.col("mean_x"), F.col("mean_y"), F.col("semi_major"), F.col("semi_minor"), F.col("rotation")))
+
+
+def mean_line(row: DataFrame) -> DataFrame:
+    """The directional mean's row with its line."""
+    return row.withColumn("geom", geometry.line(F.col("center_x"), F.col("center_y"), F.col("mean_length"), F.col("mean_angle")))
 
 
 STATEMENTS = {
@@ -61,4 +71,9 @@ STATEMENTS = {
     "linear_directional_mean": Statement(_LDM, ("lines",)),
     "central_feature": Statement(_CENTRAL, ("cust",)),
 }
-QUERIES = {"median_center": lambda spark, sf_dir: median_center(cust(spark, sf_dir)).select(F.round("median_x", 4).alias("median_x"), F.round("median_y", 4).alias("median_y"), F.round("total_dist", 2).alias("total_dist"))}
+QUERIES = {
+    "median_center": lambda spark, sf_dir: median_center(cust(spark, sf_dir)).select(F.round("median_x", 4).alias("median_x"), F.round("median_y", 4).alias("median_y"), F.round("total_dist", 2).alias("total_dist")),
+    "standard_distance_circle": lambda spark, sf_dir: standard_circle(STATEMENTS["standard_distance"].query(spark, sf_dir)),
+    "directional_distribution_ellipse": lambda spark, sf_dir: deviational_ellipse(STATEMENTS["directional_distribution"].query(spark, sf_dir)),
+    "linear_directional_mean_line": lambda spark, sf_dir: mean_line(STATEMENTS["linear_directional_mean"].query(spark, sf_dir)),
+}

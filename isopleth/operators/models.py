@@ -506,7 +506,7 @@ _AUDIT = """s AS (SELECT count(*) AS n, count(y) AS valid, min(y) AS lo, max(y)
 o AS (SELECT sum(CASE WHEN y < q1 - 1.5D * (q3 - q1) OR y > q3 + 1.5D * (q3 - q1) THEN 1 ELSE 0 END) AS outliers, avg((y - mean) * (y - mean) * (y - mean)) / max(sd * sd * sd) AS skew FROM {reg} CROSS JOIN s)
 SELECT CAST(n AS BIGINT) AS n, CAST(n - valid AS BIGINT) AS missing, round(lo, 4) AS min_value, round(hi, 4) AS max_value, round(mean, 4) AS mean, round(sd, 4) AS std, round(q1, 4) AS q1, round(q2, 4) AS median, round(q3, 4) AS q3, CAST(outliers AS BIGINT) AS outliers, round(skew, 6) AS skewness, CAST(distinct_n AS BIGINT) AS distinct_n, CASE WHEN sd <= 1e-9D THEN 'constant' WHEN valid < n THEN 'missing values' ELSE 'ready' END AS readiness FROM s CROSS JOIN o"""
 
-STATEMENTS = {"ols_simple": Statement(_OLS_SQL, ("reg",)), "model_comparison_matrix": Statement(_COMPARE, ("reg",)), "data_readiness_audit": Statement(_AUDIT, ("reg",))}
+STATEMENTS = {"ols_simple": Statement(_OLS_SQL, ("reg",)), "model_comparison_baselines": Statement(_COMPARE, ("reg",)), "data_readiness_audit": Statement(_AUDIT, ("reg",))}
 _X = ["x1", "x2", "x3"]
 
 

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.geometry import rings
 from .store import stored
 from .tree import Tree
 
@@ -132,17 +133,6 @@ def lattice(df: DataFrame, queen: bool = True) -> DataFrame:
     return a.select("src", "s.col", "s.row").join(df.select(F.col("fid").alias("dst"), "col", "row"), ["col", "row"]).select("src", "dst")
 
 
-def rings(geom: Column) -> Column:
-    """The rings of a WKT polygon or multipolygon, each an array of points (x, y)."""
-    parts = F.filter(F.split(F.regexp_replace(geom, r"[A-Za-z]*POLYGON|\(", " "), r"\)"), lambda r: r.rlike("[0-9]"))
-
-    def point(p: Column) -> Column:
-        xy = F.split(F.trim(p), r"\s+")
-        return F.struct(xy[0].cast("double").alias("x"), xy[1].cast("double").alias("y"))
-
-    return F.transform(parts, lambda r: F.transform(F.filter(F.split(r, ","), lambda p: p.rlike("[0-9]")), point))
-
-
 def contiguity(df: DataFrame, queen: bool = True) -> DataFrame:
     """src, dst of polygons (fid, geom: WKT) whose boundaries meet; without queen, along a line or across.
 
