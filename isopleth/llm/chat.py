@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 from pyspark.sql.types import _parse_datatype_string
 
-from ._base import materialize, small_batches, table
+from ._base import materialize, releasing, small_batches, table
 
 START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
 #: Control strings of the template and of other templates that a tokenizer may know.
@@ -218,7 +218,7 @@ def packs(rows: DataFrame, pack_tokens: int = 1 << 18, pack_rows: int = 1 << 16,
 
     names = ["task", "place", "conv_id", "turns", "info"]
     turns_type, info_type = to_arrow_type(sorted_.schema["turns"].dataType), to_arrow_type(_parse_datatype_string(info))
-    numbered = materialize(sorted_.mapInArrow(number, f"task int, place long, conv_id {kind}, turns array<struct<role:string,text:string>>, info {info}"))
+    numbered = materialize(sorted_.mapInArrow(releasing(number), f"task int, place long, conv_id {kind}, turns array<struct<role:string,text:string>>, info {info}"))
     carried = _carried([r["info"] for r in numbered.filter("place = -1").select("info").orderBy("info.task").collect()])  # a row for each task
     sent = spark.sparkContext.broadcast(carried)
     schema = f"begin long, tokens array<int>, positions array<int>, nodes array<{_NODE},attends:array<struct<start:long,end:long>>>>, conversations array<struct<conv_id:{kind},leaf:long>>, context array<{_NODE}>>"
@@ -245,7 +245,7 @@ def packs(rows: DataFrame, pack_tokens: int = 1 << 18, pack_rows: int = 1 << 16,
             yield row()
 
     dealt = numbered.filter("place >= 0").repartition(n, "task").sortWithinPartitions("task", "place").select(names[:4])
-    return materialize(dealt.mapInArrow(emit, schema))
+    return materialize(dealt.mapInArrow(releasing(emit), schema))
 
 
 def _with_ancestors(packed: DataFrame) -> DataFrame:
@@ -262,7 +262,7 @@ def _with_ancestors(packed: DataFrame) -> DataFrame:
                 got = tokens.values.to_numpy(zero_copy_only=False)
                 yield pa.RecordBatch.from_arrays([pa.array([x["start"] for x in w], pa.int64()), pa.array([got[x["start"] - begin : x["end"] - begin] for x in w], pa.list_(pa.int32()))], names=["start", "tokens"])
 
-    found = packed.select("begin", "tokens").join(near(wanted), "begin").mapInArrow(take, "start long, tokens array<int>")
+    found = packed.select("begin", "tokens").join(near(wanted), "begin").mapInArrow(releasing(take), "start long, tokens array<int>")
     before = asked.join(near(found), "start").groupBy(F.col("by").alias("begin")).agg(F.collect_list(F.struct("start", "tokens")).alias("before"))
     return packed.join(near(before), "begin", "left")
 
@@ -312,7 +312,7 @@ def read_back(packed: DataFrame, tokenizer=CodePoints()) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([c["conv_id"] for c in convs], to_arrow_type(kind)), *(pa.array(v, t) for v, t in zip(cols, types, strict=True))], names=["conv_id", *made])
 
     src = _with_ancestors(packed).select("begin", "tokens", "nodes", "conversations", "context", "before")
-    return src.mapInArrow(run, f"conv_id {kind.simpleString()}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return src.mapInArrow(releasing(run), f"conv_id {kind.simpleString()}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def op7_chat_format(spark, sf_dir: str) -> DataFrame:

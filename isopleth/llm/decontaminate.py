@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ._base import _rolled, batch_words, materialize, named, small_batches, table, utf8
+from ._base import batch_words, materialize, named, releasing, _rolled, small_batches, table, utf8
 
 K = 5
 BLOCKS, BLOCK_BITS, PER_BLOCK = 4, 16, 2
@@ -255,7 +255,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: st
                 cols += [pa.array([x[j] for x in got], type=k) for j, k in ((2, pa.float64()), (3, pa.int64()), (4, pa.int64()))]
                 yield pa.RecordBatch.from_arrays(cols, names=[key, item, "similarity", "word_start", "word_end"])
 
-        return src.mapInArrow(run, schema), sent
+        return src.mapInArrow(releasing(run), schema), sent
 
     def whole(frame: DataFrame, sent) -> DataFrame:
         """The rows of one block of many, written, so that its broadcast can go."""

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._base import crc_mod, gram_hashes, marked, small_batches, table, with_made
+from ._base import crc_mod, gram_hashes, marked, releasing, small_batches, table, with_made
 
 _WORD = re.compile(r"[^\W\d_]+")
 MAX_GRAM = 4
@@ -145,7 +145,7 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     def _rows(own: dict[str, Counter]) -> pd.DataFrame:
         return pd.DataFrame([(x, w, k) for x, c in own.items() for w, k in c.items()], columns=["lang", "word", "n"])
 
-    counts = rows.filter(F.col("text").isNotNull()).select("lang", "text").mapInPandas(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    counts = rows.filter(F.col("text").isNotNull()).select("lang", "text").mapInPandas(releasing(count), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     found: dict[str, Counter] = {}
     got = counts.toArrow()  # at most the words of the sample
     for x, w, k in zip(got["lang"].to_pylist(), got["word"].to_pylist(), got["n"].to_pylist(), strict=True):

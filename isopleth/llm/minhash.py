@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._base import materialize, mix64, named, shingle_sets, small_batches, table, utf8
+from ._base import materialize, mix64, named, releasing, shingle_sets, small_batches, table, utf8
 from ._graph import components
 
 
@@ -117,7 +117,7 @@ def signatures(docs: DataFrame, key: str, text: str, spec: Spec) -> DataFrame:
             cols = [b.column(0), pa.array(counts, pa.int64()), pa.array(h1), pa.array(h2), pa.ListArray.from_arrays(ends, pa.array(bands.reshape(-1))), pa.array([r.tobytes() for r in low], pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, names=["key", "n", "h1", "h2", "bands", "low"])
 
-    return src.mapInArrow(run, f"key {kind}, n long, h1 long, h2 long, bands array<long>, low binary")
+    return src.mapInArrow(releasing(run), f"key {kind}, n long, h1 long, h2 long, bands array<long>, low binary")
 
 
 def _full_sets(docs: DataFrame, keys: DataFrame, key: str, text: str, spec: Spec) -> DataFrame:
@@ -134,7 +134,7 @@ def _full_sets(docs: DataFrame, keys: DataFrame, key: str, text: str, spec: Spec
             stops = np.cumsum(counts)
             yield pd.DataFrame({"key": b["key"], "s": [x[q - n : q].tobytes() for n, q in zip(counts, stops, strict=True)]})
 
-    return materialize(src.mapInPandas(run, f"key {kind}, s binary"))
+    return materialize(src.mapInPandas(releasing(run), f"key {kind}, s binary"))
 
 
 def _similar(x: bytes, y: bytes, percent: int) -> bool:
@@ -202,7 +202,7 @@ def _within(rows: DataFrame, spec: Spec) -> DataFrame:
             compare(rest, u, v)
             yield pd.DataFrame({"u": u, "v": v})
 
-    return rows.mapInPandas(run, f"u {kind}, v {kind}")
+    return rows.mapInPandas(releasing(run), f"u {kind}, v {kind}")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", spec: Spec = Spec()) -> DataFrame:

@@ -31,19 +31,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import induced
-from ._base import materialize, mix64, named, small_batches, table, utf8, with_made
+from ._base import materialize, mix64, named, releasing, small_batches, table, utf8, with_made
 
 #: Bytes of the strings that must not repeat, of the anchor within each, and places that an anchor can take.
 LENGTH, GRAM = 100, 36
 PLACES = LENGTH - GRAM + 1
 #: Bytes that are hashed at once; longer texts go in overlapping pieces.
-PIECE = 1 << 21
+PIECE = 1 << 19
 #: Anchors that a task holds before it hands them on.
-HOLD = 1 << 20
+HOLD = 1 << 19
 #: Stretches of one anchor up to which they are dealt by the anchor alone, and places of the anchor in a piece beyond.
 HOT, SPREAD = 20_000, 13
 #: Bytes of text, and of the sort's queues, that a shard holds in memory.
-MEMORY = 128 << 20
+MEMORY = 64 << 20
 #: Stands between stretches; no byte of UTF-8.
 BETWEEN = b"\xff"
 
@@ -241,7 +241,7 @@ def _resolve(rows: DataFrame, want_partial: bool) -> DataFrame:
                 last = (a[h], b[h], doc[h], start[h])
 
     dealt = rows.repartition(F.when(F.col("kind") == 0, F.col("a")).otherwise(F.xxhash64("doc", "start"))).sortWithinPartitions("a", "b", "doc", "start")
-    return dealt.mapInPandas(run, _OUT)
+    return dealt.mapInPandas(releasing(run), _OUT)
 
 
 def _anchor_rows(docs: DataFrame) -> DataFrame:
@@ -258,7 +258,7 @@ def _anchor_rows(docs: DataFrame) -> DataFrame:
         if n:
             yield from _combine(held)
 
-    return docs.mapInPandas(run, _OUT)
+    return docs.mapInPandas(releasing(run), _OUT)
 
 
 def _runs(partial: DataFrame, docs: DataFrame) -> DataFrame:
@@ -278,7 +278,7 @@ def _runs(partial: DataFrame, docs: DataFrame) -> DataFrame:
             yield pd.DataFrame({"a": np.concatenate(b["a"].tolist()), "doc": np.repeat(b["doc"].to_numpy(), size), "start": start, "more": more, "hot": np.concatenate(b["hot"].tolist()), "bytes": out})
 
     rows = docs.join(wanted, "doc").select("doc", "text", *(F.col(f"w.{c}").alias(c) for c in ("a", "start", "more", "hot")))
-    return rows.mapInPandas(run, "a long, doc long, start long, more int, hot boolean, bytes binary")
+    return rows.mapInPandas(releasing(run), "a long, doc long, start long, more int, hot boolean, bytes binary")
 
 
 _DEALT = ["kind", "a", "doc", "start", "more", "bytes"]
@@ -326,7 +326,7 @@ def _dealt(runs: DataFrame) -> DataFrame:
                 yield from flush()
         yield from flush()
 
-    return runs.mapInPandas(run, "kind int, a long, doc long, start long, more int, bytes binary")
+    return runs.mapInPandas(releasing(run), "kind int, a long, doc long, start long, more int, bytes binary")
 
 
 class Shard:
@@ -398,8 +398,9 @@ def _sorted(rows: DataFrame, memory: int) -> DataFrame:
                 shard.add(b["doc"].to_numpy(), b["start"].to_numpy(), b["more"].to_numpy(dtype=np.int64), list(b["bytes"]))
         yield from shard.spans()
 
-    dealt = rows.repartition(F.when(F.col("kind") == 0, F.col("a")).otherwise(F.xxhash64("doc", "start")))
-    return dealt.mapInPandas(run, _OUT)
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # given, so that small shards aren't joined to larger ones
+    dealt = rows.repartition(n, F.when(F.col("kind") == 0, F.col("a")).otherwise(F.xxhash64("doc", "start")))
+    return dealt.mapInPandas(releasing(run), _OUT)
 
 
 def repeats(docs: DataFrame, memory: int = MEMORY) -> DataFrame:
@@ -481,4 +482,18 @@ def op8_repeats(spark, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op8_repeats": op8_repeats}
-ORACLES: dict[str, str] = {}
+#: Every string of 100 bytes by its md5; bytes are written as two hexadecimal digits each.
+ORACLE = f"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+w AS (SELECT doc_id, i, md5_number(substr(h, 2 * i + 1, {2 * LENGTH})) AS s FROM (SELECT doc_id, h, unnest(range(0, n - {LENGTH - 1})) AS i FROM d)),
+late AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS r FROM w) WHERE r > 1),
+runs AS (SELECT doc_id, min(i) AS a, max(i) + {LENGTH} AS b FROM (
+  SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM (
+    SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + {LENGTH} THEN 0 ELSE 1 END AS new FROM late)) GROUP BY doc_id, g),
+parts AS (SELECT doc_id, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS s, a AS e FROM runs UNION ALL SELECT doc_id, max(b), NULL FROM runs GROUP BY doc_id),
+kept AS (SELECT doc_id, string_agg(substr(h, 2 * s + 1, 2 * (coalesce(e, n) - s)), '' ORDER BY s) AS k FROM parts JOIN d USING (doc_id) GROUP BY doc_id),
+size AS (SELECT doc_id, sum(b - a) AS removed, count(*) AS spans FROM runs GROUP BY doc_id)
+SELECT d.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(k, h))) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN size USING (doc_id)"""
+
+ORACLES = {"op8_repeats": ORACLE}
