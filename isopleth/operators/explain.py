@@ -131,23 +131,23 @@ def shapley(e: np.ndarray, p: int) -> np.ndarray:
     return out
 
 
-def shap_values(df: DataFrame, target: str, xs: list[str], kind: str = "rf", task: str = "regression", class_label: str | None = None, rows: int | None = None, **more) -> DataFrame:
+def shap_values(df: DataFrame, target: str, xs: list[str], kind: str = "rf", task: str = "regression", class_label: str | None = None, rows: int | None = None, fitted: tuple | None = None, **more) -> DataFrame:
     """fid, shap_<field>, shap_base, shap_pred, shap_used for every row: exact path-dependent Shapley values of a fitted ensemble.
 
-    For classes, of the share of class_label among the training rows of each leaf (by default the last class). `rows` explains that many rows only, those of the smallest hash of their id.
+    For classes, of the share of class_label among the training rows of each leaf (by default the last class). `rows` explains that many rows only, those of the smallest hash of their id. `fitted` is what fit_regression or fit_classification gave.
     """
     from .learning import fit_classification, fit_regression
 
     if len(xs) > FIELDS:
         raise ValueError(f"up to {FIELDS} fields")
     if task == "regression":
-        model, ready = fit_regression(df, target, xs, kind, **more)
+        model, ready = fitted or fit_regression(df, target, xs, kind, **more)
         g = parsed(model)
         cover = [c[:, 0] for c in covers(ready, g, xs)]
         value = [np.array([v[0] for v in t]) for t in g.value]
         shift = 0.0
     else:
-        model, ready, labels = fit_classification(df, target, xs, kind, **more)
+        model, ready, labels = fitted or fit_classification(df, target, xs, kind, **more)
         g, at = parsed(model), labels.index(class_label) if class_label is not None else len(labels) - 1
         by_class = covers(ready, g, xs, "label", len(labels))
         cover = [c.sum(axis=1) for c in by_class]

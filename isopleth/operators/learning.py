@@ -46,9 +46,14 @@ def _regressor(kind: str, trees: int, depth: int, rate: float):
     return mr.LinearRegression(labelCol="label")
 
 
+def _in_order(df: DataFrame) -> DataFrame:
+    """The frame, written in the order of its ids: samples are drawn by place, so a fit is the same again."""
+    return stored(df.repartitionByRange("fid").sortWithinPartitions("fid"))
+
+
 def fit_regression(df: DataFrame, target: str, xs: list[str], kind: str = "rf", trees: int = 200, depth: int = DEPTH, rate: float = 0.1):
     """(model, training frame): the frame has label and features."""
-    ready = stored(_ready(df, target, xs).withColumn("label", F.col(target).cast("double")))
+    ready = _in_order(_ready(df, target, xs).withColumn("label", F.col(target).cast("double")))
     return _regressor(kind, trees, depth, rate).fit(ready), ready
 
 
@@ -78,7 +83,7 @@ def fit_classification(df: DataFrame, target: str, xs: list[str], kind: str = "r
     index = StringIndexer(inputCol="__t", outputCol="label", stringOrderType="alphabetAsc").fit(ready)
     if len(index.labels) < 2:
         raise ValueError("the target has a single class")
-    ready = stored(index.transform(ready))
+    ready = _in_order(index.transform(ready))
     return _classifier(kind, xs, len(index.labels), trees, depth, steps).fit(ready), ready, list(index.labels)
 
 

@@ -89,7 +89,7 @@ def test_shapley_values(layer):
             return expect(t, left + (row[j] > g.cut[t][n]), row, known)
         return sum(cover[t][c] / cover[t][n] * expect(t, c, row, known) for c in (left, left + 1))
 
-    values = {r["fid"]: r for r in explain.shap_values(df, "t", XS, trees=4, depth=4).collect()}
+    values = {r["fid"]: r for r in explain.shap_values(df, "t", XS, fitted=(model, ready)).collect()}
     assert values[9001]["shap_used"] == 0 and values[9001]["shap_a"] is None
     for i in (0, 7, 31):
         v = {s: np.mean([expect(t, 0, x[i], s) for t in range(4)]) for k in range(4) for s in itertools.combinations(range(3), k)}
