@@ -461,3 +461,13 @@ QUERIES = {
     "skater_regionalization": _region("skater_regionalization"),
     "model_residual_autocorrelation": residual_autocorrelation,
 }
+
+ORACLES = {
+    "dbscan_clustering": """WITH RECURSIVE p AS (SELECT vec_id AS fid, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings),
+s AS (SELECT avg(x) AS mx, stddev_pop(x) AS dx, avg(y) AS my, stddev_pop(y) AS dy FROM p), z AS (SELECT fid, (x - mx) / dx AS x, (y - my) / dy AS y FROM p, s),
+near AS (SELECT a.fid AS src, b.fid AS dst FROM z a JOIN z b ON a.fid <> b.fid AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= CAST(0.3 AS DOUBLE) * CAST(0.3 AS DOUBLE)),
+core AS (SELECT src AS c FROM near GROUP BY src HAVING count(*) + 1 >= 5), link AS (SELECT src, dst FROM near WHERE src IN (SELECT c FROM core) AND dst IN (SELECT c FROM core)),
+reach(a, b) AS (SELECT c, c FROM core UNION SELECT reach.a, link.dst FROM reach JOIN link ON link.src = reach.b),
+own AS (SELECT a AS fid, min(b) AS l FROM reach GROUP BY a), edge AS (SELECT src AS fid, min(l) AS l FROM near JOIN own ON own.fid = near.dst GROUP BY src)
+SELECT z.fid, CAST(coalesce(own.l, edge.l, -1) AS BIGINT) AS cluster_id FROM z LEFT JOIN own ON own.fid = z.fid LEFT JOIN edge ON edge.fid = z.fid""",
+}

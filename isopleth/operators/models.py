@@ -520,7 +520,7 @@ def _grid(spark, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "ols_regression": lambda s, d: ols_terms(reg(s, d), "y", _X),
+    "ols_regression": lambda s, d: ols_terms(reg(s, d), "y", _X).select("term", F.round("estimate", 4).alias("estimate"), F.round("std_error", 4).alias("std_error")),
     "ols_regression_report": lambda s, d: ols_report(pts(s, d), "v1", ["v2", "v3"], _knn(s, d)),
     "ols_regression_output": lambda s, d: ols_output(pts(s, d), "v1", ["v2", "v3"]),
     "exploratory_regression": lambda s, d: exploratory(reg(s, d), "y", _X),
@@ -538,3 +538,19 @@ QUERIES = {
     "multiscale_geographically_weighted_regression": lambda s, d: mgwr(pts(s, d), "v1", ["v2", "v3"])[0],
     "esf_regression": lambda s, d: esf(pts(s, d), _knn(s, d), "v1", ["v2", "v3"]),
 }
+
+_REG3 = "reg AS (SELECT CAST(l_extendedprice AS DOUBLE) AS y, CAST(l_quantity AS DOUBLE) AS x1, CAST(l_discount AS DOUBLE) AS x2, CAST(l_tax AS DOUBLE) AS x3 FROM lineitem)"
+#: The inverse of three predictors' products by cofactors.
+ORACLES = {
+    "ols_regression": f"""WITH {_REG3}, m AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(x1) AS m1, avg(x2) AS m2, avg(x3) AS m3, avg(y) AS my FROM reg),
+s AS (SELECT any_value(n) AS n, any_value(m1) AS m1, any_value(m2) AS m2, any_value(m3) AS m3, any_value(my) AS my,
+  sum((x1 - m1) * (x1 - m1)) AS s11, sum((x1 - m1) * (x2 - m2)) AS s12, sum((x1 - m1) * (x3 - m3)) AS s13, sum((x2 - m2) * (x2 - m2)) AS s22, sum((x2 - m2) * (x3 - m3)) AS s23, sum((x3 - m3) * (x3 - m3)) AS s33,
+  sum((x1 - m1) * (y - my)) AS c1, sum((x2 - m2) * (y - my)) AS c2, sum((x3 - m3) * (y - my)) AS c3, sum((y - my) * (y - my)) AS syy FROM reg, m),
+d AS (SELECT *, s11 * (s22 * s33 - s23 * s23) - s12 * (s12 * s33 - s13 * s23) + s13 * (s12 * s23 - s13 * s22) AS det FROM s),
+i AS (SELECT *, (s22 * s33 - s23 * s23) / det AS i11, (s13 * s23 - s12 * s33) / det AS i12, (s12 * s23 - s13 * s22) / det AS i13, (s11 * s33 - s13 * s13) / det AS i22, (s12 * s13 - s11 * s23) / det AS i23, (s11 * s22 - s12 * s12) / det AS i33 FROM d),
+b AS (SELECT *, i11 * c1 + i12 * c2 + i13 * c3 AS b1, i12 * c1 + i22 * c2 + i23 * c3 AS b2, i13 * c1 + i23 * c2 + i33 * c3 AS b3 FROM i),
+e AS (SELECT *, my - b1 * m1 - b2 * m2 - b3 * m3 AS b0, (syy - b1 * c1 - b2 * c2 - b3 * c3) / (n - 4) AS s2,
+  1 / n + m1 * m1 * i11 + m2 * m2 * i22 + m3 * m3 * i33 + 2 * (m1 * m2 * i12 + m1 * m3 * i13 + m2 * m3 * i23) AS v0 FROM b)
+SELECT 'intercept' AS term, round(b0, 4) AS estimate, round(sqrt(s2 * v0), 4) AS std_error FROM e UNION ALL SELECT 'x1', round(b1, 4), round(sqrt(s2 * i11), 4) FROM e
+UNION ALL SELECT 'x2', round(b2, 4), round(sqrt(s2 * i22), 4) FROM e UNION ALL SELECT 'x3', round(b3, 4), round(sqrt(s2 * i33), 4) FROM e""",
+}
