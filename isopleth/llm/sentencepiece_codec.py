@@ -5,11 +5,12 @@ normaliser takes, again and again, the longest prefix that the map knows (or one
 for each byte that it writes, the source bytes it came from. Pieces are made from the normalised text, so each is a run
 of normalised bytes, and the notes project it to a span of the original text: `begins` and `ends`, in UTF-8 bytes.
 
-Byte-pair models with byte pieces are segmented here: the pair of neighbours that makes the best-scored piece is merged
-first, the leftmost of equal ones, until none is left; a character that is no piece becomes its bytes. Where no piece of
-the model has a space mark behind another character, no merge crosses the place before a run of marks; normalised
-texts are cut there, and a worker segments each chunk that it meets once (the store is bounded). Models of other kinds
-are segmented by the sentencepiece library, from the original text.
+Byte-pair models with byte pieces are segmented from the normalised text: the pair of neighbours that makes the best-scored
+piece is merged first, the leftmost of equal ones, until none is left; a character that is no piece becomes its bytes.
+Where no piece of the model has a space mark behind another character, no merge crosses the place before a run of
+marks; normalised texts are cut there, and a task segments each chunk that it meets once (the store is bounded).
+Where the normaliser does no more than mark spaces, the sentencepiece library makes the merges of a chunk, which is
+faster, else they are made here. Models of other kinds are segmented by the library, from the original text.
 
 Defined cases: a null text counts as empty: begin and end ids only; texts of any length are encoded whole;
 repeated rows are encoded alike; an empty table gives no rows; only the columns in `keep` are carried along, as they are,
@@ -231,12 +232,18 @@ class Codec:
         try:
             return b"".join(map(known.__getitem__, chunks))
         except KeyError:
-            made = {}
-            for c in set(chunks):
-                made[c] = known.get(c) or self._merged(c)
-                if len(c) <= self.chunk_chars:
-                    known[c] = made[c]
-            return b"".join(map(made.__getitem__, chunks))
+            new = [c for c in set(chunks) if c not in known]
+            made = {c: self._merged(c) for c in new if not self.plain or c == MARK}
+            if self.plain:  # the library puts a mark before what it is given, and makes marks of spaces
+                whole = [c for c in new if c != MARK]
+                got = self.sp.encode([c[1:].replace(MARK, " ") for c in whole], num_threads=1)
+                made.update((c, array("I", ids).tobytes()) for c, ids in zip(whole, got, strict=True))
+            long = [c for c in made if len(c) > self.chunk_chars]
+            known.update(made)
+            out = b"".join(map(known.__getitem__, chunks))
+            for c in long:  # rarely met again
+                del known[c]
+            return out
 
     def normalize(self, data: bytes) -> tuple[str, np.ndarray, np.ndarray]:
         """The normalised text; for each of its bytes where the source bytes it came from begin and end."""
