@@ -1,6 +1,6 @@
 """Quality rules, line first (operator 9), in SQL functions only.
 
-Every line is judged by itself: lines of many words that no mark of punctuation ends, navigation (many `|` cells, or
+Every line is judged by itself: lines of many words that no mark of punctuation ends (in texts that end some line so), navigation (many `|` cells, or
 words parted by bullets or arrows), symbol noise, shouting, boilerplate phrases and lines without a letter fail.
 Failing lines are removed; a document that loses more than `max_lost` of the characters in its words is rejected. Some
 rules look at the whole document first (too few words, too many repeated 8-word windows): such a document is
@@ -88,8 +88,12 @@ def _repeated(placed: Column, k: int) -> Column:
     )
 
 
-def _line_fails(line: Column, rules: Rules) -> Column:
-    """Whether a line with words is noise. Cheap tests guard the counts, which prose then never comes to."""
+def _ended(line: Column) -> Column:
+    return F.right(line, F.lit(_TAIL)).rlike(_END)
+
+
+def _line_fails(line: Column, rules: Rules, marked: Column) -> Column:
+    """Whether a line with words is noise; marked: whether the text ends any line with a mark of punctuation. Cheap tests guard the counts, which prose then never comes to."""
     n_words = F.size(_words(line))
     letters = F.length(F.regexp_replace(line, r"[^\p{L}]+", ""))
     upper = F.length(F.regexp_replace(line, r"[^\p{Lu}]+", ""))
@@ -99,7 +103,7 @@ def _line_fails(line: Column, rules: Rules) -> Column:
         furniture = furniture | low.contains(phrase)
     return (
         ~line.rlike(r"\p{L}")
-        | (~F.right(line, F.lit(_TAIL)).rlike(_END) & (n_words >= rules.unended_words))
+        | (marked & ~_ended(line) & (n_words >= rules.unended_words))
         | (line.rlike(r"[#*$%&|<>»›→•·]") & (((n_words >= 4) & (_only(line, _PARTS) >= F.greatest(F.lit(1), rules.max_bars * n_words))) | (_only(line, _SYMBOLS) > rules.max_symbols * _only(line, _SPACE + "+"))))
         | (line.rlike(r"\p{Lu}{3}") & (n_words >= 4) & (letters >= 10) & (upper > rules.max_upper * letters))
         | (line.contains("!!") & (n_words >= 4) & (F.size(F.split(line, "!!")) - 1 >= rules.max_bangs * n_words))
@@ -108,15 +112,16 @@ def _line_fails(line: Column, rules: Rules) -> Column:
 
 
 def judge(docs: DataFrame, text: str = "text", rules: Rules = Rules(), prefix: str = "q_") -> DataFrame:
-    """Adds the counts and verdicts, each named with the prefix: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, lost_chars, kept; and lines and bad, the lines with words and those that fail."""
+    """Adds the counts and verdicts, each named with the prefix: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, lost_chars, kept; and lines and bad, the lines with words and those that fail, and marked, whether any line ends in a mark."""
     p = prefix
     whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     staged = docs.withColumns({f"{p}words": _words(whole), f"{p}lines": F.filter(F.split(whole, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))})
     staged = staged.withColumn(f"{p}hashes", F.transform(f"{p}words", lambda w: F.xxhash64(w)))
     for step in (1 << i for i in range(rules.window.bit_length() - 1)):  # windows of 2, 4, 8 ... words
         staged = staged.withColumn(f"{p}hashes", _paired(F.col(f"{p}hashes"), step))
+    staged = staged.withColumn(f"{p}marked", F.exists(f"{p}lines", _ended))
     full = F.size(f"{p}words") - (rules.window - 1)
-    staged = staged.withColumns({f"{p}windows": F.slice(f"{p}hashes", 1, F.greatest(F.lit(0), full)), f"{p}bad": F.filter(F.col(f"{p}lines"), lambda x: _line_fails(x, rules))})
+    staged = staged.withColumns({f"{p}windows": F.slice(f"{p}hashes", 1, F.greatest(F.lit(0), full)), f"{p}bad": F.filter(F.col(f"{p}lines"), lambda x: _line_fails(x, rules, F.col(f"{p}marked")))})
     staged = staged.withColumn(f"{p}placed", _placed(F.col(f"{p}windows")))
     staged = staged.withColumns(
         {
@@ -138,10 +143,10 @@ def clean(docs: DataFrame, text: str = "text", n_chars: str | None = "n_chars",
     p = "__quality_"
     judged = judge(docs, text, rules, p)
     # a generator holds the filter above it; pushed down, it would take the counts apart and repeat them
-    verdicts = F.inline(F.array(F.struct(*(F.col(f"{p}{x}") for x in ("kept", "bad", "lines")))))
-    out = judged.select(*(F.col(f"`{c}`") for c in docs.columns), verdicts.alias(f"{p}kept", f"{p}bad", f"{p}lines")).filter(F.col(f"{p}kept"))
+    verdicts = F.inline(F.array(F.struct(*(F.col(f"{p}{x}") for x in ("kept", "bad", "lines", "marked")))))
+    out = judged.select(*(F.col(f"`{c}`") for c in docs.columns), verdicts.alias(f"{p}kept", f"{p}bad", f"{p}lines", f"{p}marked")).filter(F.col(f"{p}kept"))
     changed = F.size(f"{p}bad") > 0
-    out = out.withColumn(f"{p}clean", F.when(changed, F.array_join(F.filter(f"{p}lines", lambda x: ~_line_fails(x, rules)), "\n")))
+    out = out.withColumn(f"{p}clean", F.when(changed, F.array_join(F.filter(f"{p}lines", lambda x: ~_line_fails(x, rules, F.col(f"{p}marked"))), "\n")))
     made = {text: F.coalesce(F.col(f"{p}clean"), F.col(f"`{text}`"))}
     if n_chars and n_chars in docs.columns:
         made[n_chars] = F.when(changed, F.length(f"{p}clean")).otherwise(F.col(f"`{n_chars}`")).cast(docs.schema[n_chars].dataType)
@@ -169,11 +174,11 @@ win AS (SELECT r, i, array_to_string(ws[i:i+7], ' ') AS s FROM (SELECT r, ws, un
 rep AS (SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS p FROM (SELECT r, i, count(*) OVER (PARTITION BY r, s) AS c FROM win) WHERE c > 1),
 cov AS (SELECT r, sum(least(8, i - coalesce(p, i - 8))) AS n FROM rep GROUP BY r),
 line AS (SELECT r, unnest(ls) AS line FROM w),
-counts AS (SELECT r, line, len({words.format('line')}) AS n, {seen.format('line')} AS seen,
+counts AS (SELECT r, line, bool_or(regexp_matches(right(line, {_TAIL}), '{ending}')) OVER (PARTITION BY r) AS marked, len({words.format('line')}) AS n, {seen.format('line')} AS seen,
   length(regexp_replace(line, '[^\p{{L}}]+', '', 'g')) AS letters, length(regexp_replace(line, '[^\p{{Lu}}]+', '', 'g')) AS upper_,
   length(regexp_replace(line, '{_PARTS}', '', 'g')) AS bars, regexp_matches(right(line, {_TAIL}), '{ending}') AS ended, len(string_split(line, '!!')) - 1 AS bangs,
   length(regexp_replace(line, '[^#*$%&|<>]+', '', 'g')) AS sym FROM line),
-lost AS (SELECT r, sum(seen) AS n FROM counts WHERE letters = 0 OR (NOT ended AND n >= {rules.unended_words}) OR (bars > 0 AND n >= 4 AND bars >= {rules.max_bars} * n) OR (sym > 0 AND sym > {rules.max_symbols} * seen)
+lost AS (SELECT r, sum(seen) AS n FROM counts WHERE letters = 0 OR (marked AND NOT ended AND n >= {rules.unended_words}) OR (bars > 0 AND n >= 4 AND bars >= {rules.max_bars} * n) OR (sym > 0 AND sym > {rules.max_symbols} * seen)
   OR (regexp_matches(line, '\p{{Lu}}{{3}}') AND n >= 4 AND letters >= 10 AND upper_ > {rules.max_upper} * letters) OR (bangs > 0 AND n >= 4 AND bangs >= {rules.max_bangs} * n)
   OR (length(line) <= {rules.boilerplate_chars} AND ({phrases})) GROUP BY r),
 fin AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,

@@ -158,6 +158,9 @@ def plain_quality(text):
     if len(w) < 20 or 100 * len(mark) > 30 * len(w):
         return None
 
+    ended = lambda x: bool(re.search(r"[.!?…:;][)\]}\"'”’»]*\s*$", x[-12:]))
+    marked = any(ended(x) for x in text.split("\n") if re.search(SPACE, x))
+
     def fails(line):
         n = len(re.findall(SPACE, line))
         size = len(re.sub(r"[\x20\x09-\x0d]", "", line))
@@ -165,7 +168,7 @@ def plain_quality(text):
         bars, symbols = sum(c in "|»›→•·" for c in line), sum(c in "#*$%&|<>" for c in line)
         return (
             not letters
-            or (n >= 12 and not re.search(r"[.!?…:;][)\]}\"'”’»]*\s*$", line[-12:]))
+            or (marked and n >= 12 and not ended(line))
             or (n >= 4 and bars and bars >= 0.25 * n)
             or symbols > 0.2 * size
             or (bool(re.search("[A-Z]{3}", line)) and n >= 4 and letters >= 10 and upper > 0.7 * letters)
