@@ -37,9 +37,9 @@ from ._base import materialize, mix64, named, releasing, small_batches, table, u
 LENGTH, GRAM = 100, 36
 PLACES = LENGTH - GRAM + 1
 #: Bytes that are hashed at once; longer texts go in overlapping pieces.
-PIECE = 1 << 19
+PIECE = 1 << 18
 #: Anchors that a task holds before it hands them on.
-HOLD = 1 << 19
+HOLD = 1 << 18
 #: Stretches of one anchor up to which they are dealt by the anchor alone, and places of the anchor in a piece beyond.
 HOT, SPREAD = 20_000, 13
 #: Bytes of text, and of the sort's queues, that a shard holds in memory.
