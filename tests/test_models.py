@@ -5,6 +5,7 @@ import math
 import numpy as np
 import pytest
 
+from isopleth.layer import Statement
 from isopleth.operators import models
 from isopleth.plans import neighbours
 
@@ -193,3 +194,14 @@ def test_quantile_against_enumeration(spark):
     # an optimal line goes through two of the points
     best = min(loss(y[i] - (y[j] - y[i]) / (x[j, 0] - x[i, 0]) * x[i, 0], (y[j] - y[i]) / (x[j, 0] - x[i, 0])) for i in range(21) for j in range(i))
     assert loss(*got) == pytest.approx(best, rel=2e-3)
+
+
+def test_audit_from_counted_values(spark):
+    rng = np.random.default_rng(5)
+    values = [*np.round(rng.normal(size=150) * 3, 1).tolist(), 90.0, None, None]
+    for part in (values, [2.0, 3.0, None], [4.0, 1.0, 1.0, 7.0]):
+        df = spark.createDataFrame([(v,) for v in part], "y double")
+        want = Statement(models._AUDIT, ("reg",)).run(spark, {"reg": df}).first().asDict()
+        assert models.audit(df).first().asDict() == {k: pytest.approx(v, abs=1e-6) if isinstance(v, float) else v for k, v in want.items()}
+        plan = models.audit(df)._jdf.queryExecution().toString()
+        assert "percentile" not in plan and "distinct y" not in plan.lower()
