@@ -72,11 +72,11 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir().get()
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Writes the frame as Parquet in the shared folder and reads it again: lineage ends there, and lost executors cost nothing."""
+def materialize(df: DataFrame, options: dict | None = None) -> DataFrame:
+    """Writes the frame as Parquet, with the writer's options, in the shared folder and reads it again: lineage ends there, and lost executors cost nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(compression="zstd", **(options or {})).parquet(path)
     spark.sparkContext._jvm.System.gc()  # shuffle files of the step that is over go once its plan is collected
     return spark.read.schema(df.schema).parquet(path)
 

@@ -46,6 +46,9 @@ _DROP = re.compile(r"\\(.)", re.S)
 LOSS_ROLE = "assistant"
 #: Tokens of ancestors, over all packs that go on from them, up to which they are broadcast (16 MB).
 BROADCAST_TOKENS = 4_000_000
+#: A row may have some MB, and Spark's reader takes up to 4,096 rows of a row group at once, decoded. So row groups end by their rows,
+#: or by their bytes after any row; by default the first 100 rows are one group, whatever they hold.
+CONVERSATIONS, PACKS = ({"parquet.block.size": str(8 << 20), "parquet.page.size.row.check.min": "1", "parquet.block.row.count.limit": str(n)} for n in (64, 8))
 
 
 def escape(text: str) -> str:
@@ -218,7 +221,7 @@ def packs(rows: DataFrame, pack_tokens: int = 1 << 18, pack_rows: int = 1 << 16,
 
     names = ["task", "place", "conv_id", "turns", "info"]
     turns_type, info_type = to_arrow_type(sorted_.schema["turns"].dataType), to_arrow_type(_parse_datatype_string(info))
-    numbered = materialize(sorted_.mapInArrow(releasing(number), f"task int, place long, conv_id {kind}, turns array<struct<role:string,text:string>>, info {info}"))
+    numbered = materialize(sorted_.mapInArrow(releasing(number), f"task int, place long, conv_id {kind}, turns array<struct<role:string,text:string>>, info {info}"), CONVERSATIONS)
     carried = _carried([r["info"] for r in numbered.filter("place = -1").select("info").orderBy("info.task").collect()])  # a row for each task
     sent = spark.sparkContext.broadcast(carried)
     schema = f"begin long, tokens array<int>, positions array<int>, nodes array<{_NODE},attends:array<struct<start:long,end:long>>>>, conversations array<struct<conv_id:{kind},leaf:long>>, context array<{_NODE}>>"
@@ -244,8 +247,8 @@ def packs(rows: DataFrame, pack_tokens: int = 1 << 18, pack_rows: int = 1 << 16,
         if walk:
             yield row()
 
-    dealt = numbered.filter("place >= 0").repartition(n, "task").sortWithinPartitions("task", "place").select(names[:4])
-    return materialize(dealt.mapInArrow(releasing(emit), schema))
+    dealt = numbered.filter("place >= 0").repartitionById(n, F.col("task")).sortWithinPartitions("task", "place").select(names[:4])
+    return materialize(dealt.mapInArrow(releasing(emit), schema), PACKS)
 
 
 def _with_ancestors(packed: DataFrame) -> DataFrame:

@@ -255,3 +255,23 @@ def test_pipeline_against_plain_python(spark, tmp_path):
         assert stage(spark, docs, str(tmp_path)).columns == docs.columns, name
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
     assert corpus_pipeline.tokens(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def test_chat_row_groups_are_small(spark):
+    import pyarrow.parquet as pq
+
+    # one task's packs: 24 of some MB each, which one row group held
+    rng = random.Random(7)
+    turns = [(i, 0, "user", f"{i:03} " + rng.choice("abcdef") * 270_000) for i in range(24)]
+    talk = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    try:
+        packed = chat.packs(talk)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    files = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in packed.inputFiles()]
+    groups = [m.row_group(i).num_rows for m in files for i in range(m.num_row_groups)]
+    assert sum(groups) >= 20 and max(groups) <= 8
+    got = {r["conv_id"]: r["turns_sha256"] for r in chat.read_back(packed).collect()}
+    assert got == {c: hashlib.sha256(f"{role}\n{text}\n".encode()).hexdigest() for c, _, role, text in turns}
