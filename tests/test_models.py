@@ -173,6 +173,43 @@ def test_esf(spark):
         models.esf(df, edges, "t", ["x1"], most=10)
 
 
+def test_esf_without_a_dense_matrix(spark):
+    rng = np.random.default_rng(3)
+    xy, x = rng.uniform(0, 10, (300, 2)), rng.normal(size=(300, 2))
+    y = x[:, 0] + np.sin(xy[:, 0]) + np.cos(xy[:, 1]) + rng.normal(size=300) * 0.2
+    df = spark.createDataFrame([(i * 3, *map(float, (a, b, p, q, t))) for i, ((a, b), (p, q), t) in enumerate(zip(xy, x, y))], "fid long, x double, y double, x1 double, x2 double, t double")
+    edges = neighbours.row_standardised(neighbours.nearest(df, 5))
+    # by the definition, from a dense matrix
+    w, z, picked = dense(edges, 300), design(x), []
+    c = np.eye(300) - 1 / 300
+    value, vector = np.linalg.eigh(c @ ((w + w.T) / 2) @ c)
+    pool = list(np.flatnonzero(value > 1e-10))
+    for _ in range(4):
+        full = np.column_stack([z, vector[:, picked]])
+        e = y - full @ np.linalg.lstsq(full, y, rcond=None)[0]
+        picked.append(max((j for j in pool if j not in picked), key=lambda j: abs(vector[:, j] @ (e - e.mean()))))
+    full = np.column_stack([z, vector[:, picked]])
+    e = y - full @ np.linalg.lstsq(full, y, rcond=None)[0]
+    for most in (0, 5_000):
+        got = models.esf(df, edges, "t", ["x1", "x2"], most_vectors=4, dense=most).orderBy("fid").collect()
+        assert np.allclose([r["residual"] for r in got], e, atol=1e-7) and np.std([r["spatial_filter"] for r in got]) > 0.1
+
+
+def test_esf_takes_more_features_than_a_dense_matrix_holds(spark):
+    grid = [(i, float(i % 80), float(i // 80)) for i in range(5_040)]
+    df = spark.createDataFrame([(i, a, b, math.sin(i * 1.7), a / 40 + math.cos(i * i * 0.3)) for i, a, b in grid], "fid long, x double, y double, x1 double, t double")
+    at = {(a, b): i for i, a, b in grid}
+    links = [(i, at[a + p, b + q]) for i, a, b in grid for p, q in ((0, 1), (1, 0), (0, -1), (-1, 0)) if (a + p, b + q) in at]
+    rows = models.esf(df, spark.createDataFrame(links, "src long, dst long"), "t", ["x1"], most_vectors=1).orderBy("fid").collect()
+    e = np.array([r["residual"] for r in rows])
+    t = np.array([a / 40 + math.cos(i * i * 0.3) for i, a, _ in grid])
+    z = np.column_stack([np.ones(5_040), [math.sin(i * 1.7) for i in range(5_040)]])
+    assert len(rows) == 5_040 and abs(z.T @ e).max() < 1e-6
+    # the trend along x is one smooth pattern, which takes most of what it explains
+    before = t - z @ np.linalg.lstsq(z, t, rcond=None)[0]
+    assert e @ e < 0.75 * (before @ before)
+
+
 def test_regimes(spark):
     df, _, x, y = layer(spark, 60)
     rows = models.regimes(df, "t", ["x1"], "g").collect()
