@@ -170,11 +170,11 @@ def word_hashes(data: bytes, lower: bool = True) -> tuple[np.ndarray, np.ndarray
 
 
 def _rolled(words: np.ndarray, k: int) -> np.ndarray:
-    n = len(words)
-    out = np.zeros(max(0, n - k + 1), dtype=np.uint64)
+    n = max(0, len(words) - k + 1)
+    out = np.zeros(n, dtype=np.uint64)
     with np.errstate(over="ignore"):
         for j in range(k):
-            out = (out ^ words[j : n - k + 1 + j]) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(k)
+            out = (out ^ words[j : j + n]) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(k)
             out ^= out >> np.uint64(29)
         return mix64(out)
 

@@ -11,6 +11,7 @@ import pytest
 import sentencepiece as spm
 
 from isopleth.llm import chat, decontaminate, langid, minhash, quality, repeats, sentencepiece_codec, sharding, toxicity, url_filter
+from isopleth.llm._base import shingle_sets
 
 BIG = 9007199254740993
 WORDS = [f"w{i}" for i in range(400)]
@@ -257,6 +258,20 @@ def test_pipeline_against_plain_python(spark, tmp_path):
     assert corpus_pipeline.tokens(spark, docs.limit(0), str(tmp_path)).count() == 0
 
 
+def test_batches_with_fewer_words_than_a_shingle(spark):
+    text = prose(random.Random(8), 60)
+    items = decontaminate.Items([(1, text)])
+    for n in range(9):
+        few = " ".join(WORDS[:n])
+        assert items.search([few.encode()], 0.8) == []
+        long = f"{text} {prose(random.Random(n), decontaminate.SEGMENT - 60 + n)}"  # the last segment has n words
+        assert items.search([long.encode()], 0.8) == [(0, 0, 1.0, 0, 60)]
+        assert shingle_sets([few.encode()], 5)[1].tolist() == [0 if not n else max(1, n - 4)]
+    docs = spark.createDataFrame([(1, "only three words")], "doc_id long, text string").coalesce(1)
+    assert decontaminate.clean(docs, spark.createDataFrame([(1, text)], "item_id long, text string")).collect() == docs.collect()
+    assert [r["n_shingles"] for r in minhash.near_duplicates(docs).collect()] == [1]
+
+
 def test_chat_row_groups_are_small(spark):
     import pyarrow.parquet as pq
 
