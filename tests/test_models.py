@@ -7,7 +7,8 @@ import pytest
 
 from isopleth.layer import Statement
 from isopleth.operators import models
-from isopleth.plans import neighbours
+from isopleth.plans import neighbours, spectrum
+from isopleth.plans.store import stored
 
 
 def layer(spark, n=60, seed=1, shift=0.0):
@@ -195,6 +196,59 @@ def test_esf_without_a_dense_matrix(spark):
         assert np.allclose([r["residual"] for r in got], e, atol=1e-7) and np.std([r["spatial_filter"] for r in got]) > 0.1
 
 
+def noise(spark, n, seed):
+    """Points whose values have little of a pattern, so that shares of all eigenvectors are alike; links and the definition's choice of vectors."""
+    rng = np.random.default_rng(seed)
+    xy, x = rng.normal(size=(n, 2)), rng.normal(size=(n, 2))
+    y = x[:, 0] + np.sin(2 * xy[:, 0]) + np.cos(3 * xy[:, 1]) + rng.normal(size=n)
+    df = spark.createDataFrame([(i * 3, *map(float, (a, b, p, q, t))) for i, ((a, b), (p, q), t) in enumerate(zip(xy, x, y))], "fid long, x double, y double, x1 double, x2 double, t double")
+    edges = stored(neighbours.row_standardised(neighbours.nearest(df, 8)))
+    c, w = np.eye(n) - 1 / n, dense(edges, n)
+    return df, edges, design(x), y, np.linalg.eigh(c @ ((w + w.T) / 2) @ c)
+
+
+def left(z, y):
+    return y - z @ np.linalg.lstsq(z, y, rcond=None)[0]
+
+
+def test_esf_steps_run_outside_python(spark, monkeypatch):
+    """51,282 features take some 100,000 steps and as many in the second pass: one product each in numpy took too long."""
+    df, edges, z, y, (value, vector) = noise(spark, 900, 5)
+    picked, calls, product = [], [], spectrum.Centred.__call__
+    for _ in range(4):
+        e = left(np.column_stack([z, vector[:, picked]]), y)
+        picked.append(max((j for j in np.flatnonzero(value > 1e-10) if j not in picked), key=lambda j: abs(vector[:, j] @ e)))
+    monkeypatch.setattr(spectrum.Centred, "__call__", lambda self, x: calls.append(1) or product(self, x))
+    got = [r["residual"] for r in models.esf(df, edges, "t", ["x1", "x2"], most_vectors=4, dense=0).orderBy("fid").collect()]
+    assert np.allclose(got, left(np.column_stack([z, vector[:, picked]]), y), atol=1e-7)
+    assert len(calls) < 900
+
+
+def test_no_unknown_eigenvector_exceeds_the_bound(spark):
+    df, edges, z, y, (value, vector) = noise(spark, 700, 6)
+    links, e = edges.toPandas(), left(z, y)
+    found = spectrum.Leading(spark, spectrum.Centred(700, links["src"].to_numpy() // 3, links["dst"].to_numpy() // 3, links["w"].to_numpy()), e, z, 5)
+    known = np.abs(vector.T @ found.vectors).max(1) > 0.999
+    others = np.abs(vector.T @ e)[(value > 1e-10) & ~known]
+    assert known.sum() == found.vectors.shape[1] >= 5 and others.max() <= found.bound < 1.1 * others.max()
+    u, reach = found._reach
+    assert u.shape[1] == 2 and (np.abs(vector[:, value > 1e-10].T @ u).max(0) <= reach).all()
+
+
+def test_esf_takes_no_eigenvector_of_value_zero(spark):
+    # opposite values on two leaves of a star: a large share with eigenvalue 0, beside a smooth pattern along a line of hubs
+    n, rng = 360, np.random.default_rng(2)
+    hub, links = np.arange(120), []
+    for i in range(120):
+        links += [*((i, j) for j in (i - 1, i + 1) if 0 <= j < 120), *((i, j) for j in (120 + i, 240 + i)), *((j, i) for j in (120 + i, 240 + i))]
+    smooth = np.cos(np.pi * hub / 120)
+    t = np.concatenate([smooth, smooth + 2, smooth - 2]) + rng.normal(size=n) * 0.1
+    df = spark.createDataFrame([(i, float(v), float(u)) for i, (v, u) in enumerate(zip(t, rng.normal(size=n)))], "fid long, t double, x1 double")
+    edges = spark.createDataFrame([(a, b, 1.0) for a, b in links], "src long, dst long, w double")
+    want, got = ([r["residual"] for r in models.esf(df, edges, "t", ["x1"], most_vectors=1, dense=d).orderBy("fid").collect()] for d in (5_000, 0))
+    assert np.std(want) > 1 and np.allclose(got, want, atol=1e-6)
+
+
 def test_esf_takes_more_features_than_a_dense_matrix_holds(spark):
     grid = [(i, float(i % 80), float(i // 80)) for i in range(5_040)]
     df = spark.createDataFrame([(i, a, b, math.sin(i * 1.7), a / 40 + math.cos(i * i * 0.3)) for i, a, b in grid], "fid long, x double, y double, x1 double, t double")
